@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollweave.llm import langid, pairs, sketch, textstats, truncation
+from rollweave.llm import langid, leakage, mojibake, packing, pairs, sketch, textstats, truncation
 from rollweave.session import cut, table
 
 ROLLOUTS = "filtered_random4by53"
@@ -111,8 +111,51 @@ def p5_days_merged(spark: SparkSession, d: str) -> DataFrame:
     return r.select("metric", "p", "n", "n_missing", ok.alias("within_bound"))
 
 
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    sizes = packing.token_counts(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    return packing.pack(sizes, table(spark, d, "token_budgets"), "doc_id", "n_tokens", "budget_id", "capacity_tokens")
+
+
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    """Container, position and offset of every document, or piece of one, for each token budget."""
+    return _packed(spark, d)
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Per budget: containers, tokens, unused share and the least number of containers that any packing needs."""
+    caps = table(spark, d, "token_budgets").select("budget_id", "capacity_tokens").distinct()
+    used = _packed(spark, d).groupBy("budget_id").agg(F.max("container").alias("last"), F.sum("n_tokens").alias("n_tokens"))
+    n = F.col("last") + 1
+    room = n * F.col("capacity_tokens")
+    return used.join(F.broadcast(caps), "budget_id").select("budget_id", n.alias("n_containers"), "n_tokens", (1 - F.col("n_tokens") / room).alias("unused_share"), F.ceil(F.col("n_tokens") / F.col("capacity_tokens")).alias("least_containers"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks(spark, d).select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the items leaked into them and the size of the longest passage (words; characters for Chinese)."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return leakage.find_leaks(docs, table(spark, d, "eval_items"), "doc_id", "text", "item_id", "text")
+
+
+def _repaired(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return mojibake.repair_texts(docs.select("doc_id", "text"), "doc_id", "text", mojibake.train(spark, docs))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _repaired(spark, d).where("garbled").select("doc_id")
+
+
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Garbled documents, the chain of wrong decodings and, where nothing was lost, the original text."""
+    return _repaired(spark, d).where("garbled").select("doc_id", "chain", "restored")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p2_text_statistics, p3_found, p3_cut_share_by_source, p4_found, p4_languages, p5_percentiles, p5_days_merged)
+    f.__name__: f for f in (p1_found, p2_found, p2_text_statistics, p3_found, p3_cut_share_by_source, p4_found, p4_languages, p5_percentiles, p5_days_merged, p6_pack, p6_fill, p7_found, p7_leaks, p8_found, p8_restored)
 }
 
 _P5_UNPIVOT = " UNION ALL ".join(
