@@ -1 +1 @@
-"""rollweave.streaming"""
+"""Streaming forms: online filter, accumulate-until-full, event-time tier."""
