@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
 MIN_LOGP = -700.0
 Bounds = tuple[Column, Column]
@@ -80,7 +81,7 @@ def bisect(p: np.ndarray, delta: float, f: Callable, rounds: int = 50) -> tuple[
 
 
 def _solver(delta: float, f: Callable):
-    @F.pandas_udf("lower double, upper double")
+    @F.pandas_udf(Ty.StructType([Ty.StructField("lower", Ty.DoubleType()), Ty.StructField("upper", Ty.DoubleType())]))
     def solve(p: pd.Series) -> pd.DataFrame:
         lo, up = bisect(p.to_numpy(dtype=float, na_value=np.nan), delta, f)
         return pd.DataFrame({"lower": lo, "upper": up})
@@ -116,7 +117,7 @@ def band(logp: Column, method: str = "bandkl", delta: float = 0.05, eps_low: flo
     lower = F.when(rare, F.lit(0.0)).when(sure, F.lit(at_one(delta))).otherwise(lower)
     if relax:
         lower, upper = clamp(lower, hi=1 - eps_low), clamp(upper, lo=1 + eps_high)
-    return clamp(lower, 0.0, 1.0), clamp(upper, 1.0, most)
+    return F.when(logp.isNotNull(), clamp(lower, 0.0, 1.0)), F.when(logp.isNotNull(), clamp(upper, 1.0, most))
 
 
 def dcpo(logp: Column, eps_low: float = 0.16, eps_high: float = 0.2, most: float = 10.0, floor: float = 1e-12) -> Bounds:

@@ -12,6 +12,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
 NUMBER = r"(-?[0-9.,]+)"
 
@@ -97,7 +98,7 @@ def last_boxed(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(Ty.StringType())
 def boxed(s: pd.Series) -> pd.Series:
     return s.map(last_boxed)
 
@@ -172,8 +173,8 @@ def same_answer(a: str | None, b: str | None, tolerance: float = 1e-4) -> bool:
     return u is not None and v is not None and abs(u - v) <= tolerance * max(1e-12, abs(v))
 
 
-def _pairwise(f: Callable[[str | None, str | None], float], kind: str = "double"):
-    @F.pandas_udf(kind)
+def _pairwise(f: Callable[[str | None, str | None], float]):
+    @F.pandas_udf(Ty.DoubleType())
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
         known: dict[tuple, float] = {}
         out = []

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
 #: Discourse markers by kind. German ones have no word boundary, so they match inside words as well.
 SELF_REFLECT = (r"\bwait\b", r"\bwait a second\b", r"\bhold on\b", r"\bhang on\b", r"\blet me think\b", r"\bgive me a moment\b", r"\bjust a second\b", "等一下", "等一等", "先等等", "稍等", "moment mal", "einen moment", "подожди", "подождите", "секундочку")
@@ -86,7 +87,7 @@ def entropy_bits(a: Column) -> Column:
     return F.when(n > 0, F.aggregate(_sorted_runs(a), F.lit(0.0), lambda s, r: s - r / n * F.log2(r / n))).otherwise(0.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(Ty.DoubleType())
 def compress_ratio(s: pd.Series) -> pd.Series:
     """zlib level 6 size over UTF-8 size; 1 for empty texts, null for null."""
     return s.map(lambda t: None if t is None else len(zlib.compress(b, 6)) / len(b) if (b := t.encode("utf-8", "replace")) else 1.0)
@@ -165,7 +166,7 @@ def tandem_blocks(ids: np.ndarray, least: int = 1, most: int = 16) -> tuple[int,
 _TOKEN_RE = re.compile(r"\w+|[^\w\s]")
 
 
-@F.pandas_udf("blocks int, length int")
+@F.pandas_udf(Ty.StructType([Ty.StructField("blocks", Ty.IntegerType()), Ty.StructField("length", Ty.IntegerType())]))
 def tandem_repeats(s: pd.Series) -> pd.DataFrame:
     """Blocks and token length of the longest tandem repetition of each text; null gives (1, 0)."""
     return pd.DataFrame([tandem_blocks(pd.factorize(np.array(_TOKEN_RE.findall(t), dtype=object))[0]) if t else (1, 0) for t in s], columns=["blocks", "length"])
@@ -182,7 +183,7 @@ def neg_finite(c: Column) -> Column:
     return F.when(ok, -c).otherwise(float("nan"))
 
 
-@F.pandas_udf("decimal(20,0)")
+@F.pandas_udf(Ty.DecimalType(20, 0))
 def salt64(s: pd.Series) -> pd.Series:
     """blake2b of eight bytes as an unsigned number."""
     from decimal import Decimal

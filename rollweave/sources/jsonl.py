@@ -7,13 +7,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from rollweave.functions.text import file_name
 from rollweave.operators.sampling import group_name, seeded
 
 #: Scalar fields of a rollout record.
-ROLLOUT = StructType.fromDDL(
+ROLLOUT = (
     "timestamp string, epoch int, global_step int, uid string, filter_state string, filter_reason string, prompt_text string, response_text string, "
     "prompt_len_tokens int, response_len_tokens int, total_len_tokens int, "
     "gen_cfg struct<temperature: double, top_p: double, top_k: int, max_new_tokens: int, n: int, do_sample: boolean>, "
@@ -24,9 +24,10 @@ ROLLOUT = StructType.fromDDL(
 BAD = "_corrupt_record"
 
 
-def read(spark: SparkSession, paths: str | Sequence[str], schema: StructType = ROLLOUT) -> DataFrame:
+def read(spark: SparkSession, paths: str | Sequence[str], schema: str | StructType = ROLLOUT) -> DataFrame:
     """Records with a fixed schema, so no inference pass; a line that is no JSON object is kept in ``_corrupt_record``."""
-    return spark.read.schema(StructType(schema.fields).add(BAD, "string")).json(paths, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD)
+    fields = (StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    return spark.read.schema(StructType([*fields, StructField(BAD, StringType())])).json(paths, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD)
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
