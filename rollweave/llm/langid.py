@@ -298,6 +298,8 @@ def detect_many(texts: Sequence[str | None], scorer: Scorer, least_words: int =
     whose score exceeds that of the main language by ``margin`` (natural logarithm). Where ``spans`` is off, no
     segments are made.
     """
+    if not texts:
+        return []
     if len(scorer.ids) > scorer.MOST:
         scorer._reset()
     ids: list[int] = []

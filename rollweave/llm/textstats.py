@@ -214,15 +214,17 @@ STATS_DDL = "lang_guess string, " + ", ".join(f"{s} double" for s in STATS)
 def text_statistics(df: DataFrame, key: str, text: str, flags: Mapping[str, tuple[str, Callable[[str, str], bool]]] | None = None) -> DataFrame:
     """A row per row of ``df``: key, language by common words, statistics. Python in Arrow batches, no shuffle.
 
-    ``flags`` adds boolean columns: name -> (other column, test of the text and that column); false for a null text.
+    ``flags`` adds boolean columns: name -> (other column, test of the text and that column), for telling apart the texts
+    whose list, table or junk share reaches a half; false for all others.
     """
     flags = dict(flags or {})
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = pd.DataFrame([profile(x) for x in pdf["t"]], columns=["lang_guess", *STATS])
+            rows = [profile(x) for x in pdf["t"]]
+            out = pd.DataFrame(rows, columns=["lang_guess", *STATS])
             for i, (name, (_, test)) in enumerate(flags.items()):
-                out[name] = [bool(t) and test(t, o) for t, o in zip(pdf["t"], pdf[f"o{i}"])]
+                out[name] = [max(r[-1], r[-3], r[-4]) >= 0.5 and test(t, o) for r, t, o in zip(rows, pdf["t"], pdf[f"o{i}"])]
             out.insert(0, "k", pdf["k"].to_numpy())
             yield out
 
