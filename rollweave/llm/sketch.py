@@ -172,18 +172,28 @@ def partial_sketches(df: DataFrame, groups: Mapping[str, Column], metrics: Mappi
     return df.select(*g, *m).mapInPandas(run, PARTIAL)
 
 
-def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
-    first = pdf.iloc[0]
-    s = QuantileSketch.from_bytes(first["sketch"], _seed(first["dim"], first["grp"], first["metric"], int(first["salt"]), len(pdf)))
-    for b in pdf["sketch"].iloc[1:]:
-        s.merge(QuantileSketch.from_bytes(b))
-    return pd.DataFrame([(*first[["dim", "grp", "metric"]], int(first["salt"]), int(pdf["n_missing"].sum()), s.to_bytes())], columns=_COLS)
+def _merge(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Merges the sketches of equal keys that meet in a partition; holds one sketch per key."""
+    state: dict[tuple, list] = {}
+    for pdf in batches:
+        for *key, miss, b in pdf[_COLS].itertuples(index=False, name=None):
+            key = tuple(None if x is None or x != x else x for x in key)
+            held = state.get(key)
+            if held is None:
+                state[key] = [miss, QuantileSketch.from_bytes(b, _seed(*key))]
+            else:
+                held[0] += miss
+                held[1].merge(QuantileSketch.from_bytes(b))
+    yield pd.DataFrame([(*key, miss, s.to_bytes()) for key, (miss, s) in state.items()], columns=_COLS)
 
 
 def merge_sketches(parts: DataFrame) -> DataFrame:
-    """Merge to one sketch per group and metric, in two steps, so that no task reads all parts of a hot group."""
-    salted = parts.groupBy("dim", "grp", "metric", "salt").applyInPandas(_merge, PARTIAL)
-    return salted.groupBy("dim", "grp", "metric").applyInPandas(_merge, PARTIAL)
+    """Merge to one sketch per group and metric, in two steps, so that no task reads all parts of a hot group.
+
+    Rows are hash-partitioned by key and merged as they stream in, without a call per group.
+    """
+    salted = parts.repartition("dim", "grp", "metric", "salt").mapInPandas(_merge, PARTIAL)
+    return salted.withColumn("salt", F.lit(0)).repartition("dim", "grp", "metric").mapInPandas(_merge, PARTIAL)
 
 
 QUANTILES = "dim string, grp string, metric string, n bigint, n_missing bigint, p double, estimate double, rank_error double"
