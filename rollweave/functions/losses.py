@@ -155,6 +155,18 @@ def dpo_loss(chosen: Column, rejected: Column, ref_chosen: Column, ref_rejected:
     return {"loss": F.log1p(F.exp(-F.abs(x))) + F.greatest(-x, F.lit(0.0)), "accuracy": (c > r).cast("double"), "margin": beta * x}
 
 
+def ce_dpo_loss(score: Column, acc: Column, beta: float) -> Column:
+    """Binary cross-entropy of sigmoid(beta * score) against the accuracy."""
+    x = beta * score
+    return F.log1p(F.exp(-F.abs(x))) + F.greatest(x, F.lit(0.0)) - x * acc
+
+
+def bounded_policy_loss(lp: Column, old_lp: Column, adv: Column, low: Column, high: Column, rollout_lp: Column | None = None, most_weight: float = 2.0, dual: float = 3.0) -> Column:
+    """Dual-clip surrogate under token-wise bounds, weighted by the truncated ratio of trainer and rollout probabilities."""
+    loss = clipped_surrogate(lp, old_lp, adv, low, high, dual)["loss"]
+    return loss if rollout_lp is None else loss * clamp(F.exp(clamp(old_lp - rollout_lp, -20.0, 20.0)), hi=most_weight)
+
+
 def preference_loss(pi_c: Column, pi_r: Column, ref_c: Column, ref_r: Column, beta: float, smoothing: float = 0.0, kind: str = "sigmoid") -> Column:
     x = (pi_c - pi_r) - (ref_c - ref_r)
     if kind == "ipo":

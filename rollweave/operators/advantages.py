@@ -169,6 +169,29 @@ def rfpp(df: DataFrame, seq: str, order: list[str], reward: str, mask: str, gamm
     return w.withColumn("adv", F.col("adv") * F.col(mask))
 
 
+@register("prime_rloo")
+def prime_rloo(df: DataFrame, group: str, seq: str, order: list[str], reward: str, mask: str, acc: str, model_weight: float = 1.0, truth_weight: float = 1.0) -> DataFrame:
+    """Token rows with ret and whitened adv: leave-one-out over two reward sources, each centred on its own.
+
+    Token rewards are centred by the group's sequence means, the accuracy, on the last masked token, by the group's
+    accuracies; then the sum is accumulated from the end. A group of one keeps its rewards.
+    """
+    last = Window.partitionBy(seq).orderBy(*[F.desc(c) for c in order])
+    t = df.withColumn("_last", (F.sum(mask).over(last.rowsBetween(Window.unboundedPreceding, 0)) == 1) & (F.col(mask) == 1))
+    per = df.groupBy(group, seq).agg(F.coalesce(F.avg(F.when(F.col(mask) == 1, F.col(reward))), F.lit(0.0)).alias("_m"), F.first(acc).alias("_c"))
+    g = per.groupBy(group).agg(F.count("*").alias("_n"), F.sum("_m").alias("_sm"), F.sum("_c").alias("_sc"))
+    j = t.join(g, group)
+
+    def centred(x: Column, total: Column) -> Column:
+        n = F.col("_n")
+        return F.when(n > 1, x * n / (n - 1) - total / (n - 1)).otherwise(x)
+
+    value = model_weight * F.when(F.col(mask) == 1, centred(F.col(reward), F.col("_sm"))).otherwise(0.0) + truth_weight * F.when(F.col("_last"), centred(F.col(acc), F.col("_sc"))).otherwise(0.0)
+    togo = Window.partitionBy(seq).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+    out = j.withColumn("_v", value * F.col(mask)).withColumn("ret", F.sum("_v").over(togo))
+    return whiten(out, "ret", mask, "adv").drop("_last", "_n", "_sm", "_sc", "_v")
+
+
 def softmean(df: DataFrame, x: str, beta: float) -> DataFrame:
     """One row: (logsumexp(beta x) - log n) / beta, shifted by the maximum; the mean for beta 0."""
     if beta == 0:

@@ -55,17 +55,17 @@ def pairs_within(df: DataFrame, group: str, order: str, cols: Sequence[str], sal
     return a.join(b, (F.col(group) == F.col("_g")) & (F.col("_s") == F.col("_t")) & (F.col(f"a_{order}") < F.col(f"b_{order}"))).drop("_g", "_s", "_t")
 
 
-def concordance(df: DataFrame, group: str, score: str, truth: str) -> DataFrame:
-    """Share of pairs of a group that score and truth order alike, weighted by the truths' distance.
+def concordance(df: DataFrame, group: str, order: str, score: str, truth: str) -> DataFrame:
+    """One row: mean over groups of the share of pairs that score and truth order alike, weighted by the truths' distance.
 
-    By counting instead of pairing: rows are first reduced to distinct (score, truth) with their counts, whose number is
-    small where truth is graded coarsely; ties of the score count as wrong.
+    A pair i < j counts as right where (score_i > score_j) = (truth_i > truth_j); groups without a difference of the truth
+    count 0.5. Groups are the samples of one prompt.
     """
-    d = df.groupBy(group, score, truth).agg(F.count("*").alias("n"))
-    a, b = d.alias("a"), d.alias("b")
-    j = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col(f"a.{truth}") < F.col(f"b.{truth}")))
-    w = (F.col(f"b.{truth}") - F.col(f"a.{truth}")) * F.col("a.n") * F.col("b.n")
-    return j.agg(F.sum(w).alias("weight"), F.sum(F.when(F.col(f"b.{score}") > F.col(f"a.{score}"), w).otherwise(0.0)).alias("right")).select((F.col("right") / F.col("weight")).alias("concordance"))
+    p = pairs_within(df, group, order, [score, truth])
+    ds, dt = F.col(f"a_{score}") - F.col(f"b_{score}"), F.col(f"a_{truth}") - F.col(f"b_{truth}")
+    w = F.abs(dt)
+    g = p.groupBy(group).agg(F.sum(w).alias("_w"), F.sum(F.when((ds > 0) == (dt > 0), w).otherwise(0.0)).alias("_r"))
+    return g.agg(F.avg(F.when(F.col("_w") > 0, F.col("_r") / F.col("_w")).otherwise(0.5)).alias("concordance"))
 
 
 def contrast_mean(df: DataFrame, group: str, acc: str, q: str, lower: bool = True) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollweave.functions import losses as L
 from rollweave.operators import advantages as A
 from rollweave.operators import aggregates as G
 from rollweave.operators import filters as P
@@ -143,9 +144,35 @@ def within_group_pairs(spark: SparkSession, d: str) -> DataFrame:
     return p.select("g", "a_k", "b_k", r6(F.col("b_score") - F.col("a_score")).alias("diff"))
 
 
-@query(f"WITH {SEQ} SELECT round(sum(CASE WHEN b.score > a.score THEN b.len - a.len ELSE 0 END) / sum(b.len - a.len), 6) AS concordance FROM s a JOIN s b ON a.g = b.g AND a.len < b.len")
+@query(f"WITH {SEQ}, g AS (SELECT a.g, sum(abs(a.len - b.len)) AS w, sum(CASE WHEN (a.score > b.score) = (a.len > b.len) THEN abs(a.len - b.len) ELSE 0 END) AS r FROM s a JOIN s b ON a.g = b.g AND a.k < b.k GROUP BY a.g) SELECT round(avg(CASE WHEN w > 0 THEN r / w ELSE 0.5e0 END), 6) AS concordance FROM g")
 def pair_concordance(spark: SparkSession, d: str) -> DataFrame:
-    return J.concordance(sequences(spark, d, True), "g", "score", "len").select(r6("concordance").alias("concordance"))
+    return J.concordance(sequences(spark, d, True), "g", "k", "score", "len").select(r6("concordance").alias("concordance"))
+
+
+@query(f"WITH {SEQ} SELECT round(avg(ln(1 + exp(-abs(0.05e0 * score))) + greatest(0.05e0 * score, 0e0) - 0.05e0 * score * CASE WHEN len > 3 THEN 1 ELSE 0 END), 6) AS ce_dpo, round(avg(CASE WHEN sign(score - 2e0) = CASE WHEN len > 3 THEN 1 ELSE -1 END THEN 1e0 ELSE 0e0 END), 6) AS abs_accuracy FROM s")
+def reward_model_losses(spark: SparkSession, d: str) -> DataFrame:
+    s = sequences(spark, d, True)
+    acc = F.when(F.col("len") > 3, 1.0).otherwise(0.0)
+    return s.agg(r6(F.avg(L.ce_dpo_loss(F.col("score"), acc, 0.05))).alias("ce_dpo"), r6(F.avg((F.signum(F.col("score") - 2.0) == F.signum(acc * 2 - 1)).cast("double"))).alias("abs_accuracy"))
+
+
+@query(f"WITH {SEQ}, m AS (SELECT max(0.5e0 * score) AS t FROM s) SELECT round((t + ln(sum(exp(0.5e0 * score - t))) - ln(count(*))) / 0.5e0, 6) AS softmean FROM s, m GROUP BY t")
+def softmean(spark: SparkSession, d: str) -> DataFrame:
+    return A.softmean(sequences(spark, d), "score", 0.5).select(r6("softmean").alias("softmean"))
+
+
+@query("SELECT e.vec_id, d.doc_id, d.n_chars, e.label FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id")
+def positional_join(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "n_chars")
+    return table(spark, d, "embeddings").select("vec_id", "label").join(docs, F.col("doc_id") == F.col("vec_id")).select("vec_id", "doc_id", "n_chars", "label")
+
+
+@query()
+def balance_across_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Every rank of a batch gets as many sequences and about as many tokens; rows come out grouped by rank."""
+    s = sequences(spark, d, True).withColumn("batch", F.floor((F.col("k") - 1) / 64))
+    full = s.join(s.groupBy("batch").agg(F.count("*").alias("c")).where("c = 64"), "batch", "left_semi")
+    return S.balanced(full, "batch", "k", "len", 8, equal=True).repartitionByRange("batch", "part").sortWithinPartitions("batch", "part", "k")
 
 
 @query(f"WITH {SEQ} SELECT a.k, round((SELECT avg(b.score) FROM s b WHERE b.g = a.g AND b.len < a.len), 6) AS contrast FROM s a")

@@ -328,3 +328,28 @@ def logits_stats(spark: SparkSession, d: str) -> DataFrame:
 def flops_estimate(spark: SparkSession, d: str) -> DataFrame:
     s = tokens(spark, d).groupBy("seq").agg(F.count("*").alias("n"))
     return s.agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.col("n")).alias("q")).select((F.round(L.flops(F.col("t"), F.col("q"), 7_000_000_000, 28, 3584), 0) / 1e12).alias("tflops"))
+
+
+_TISW = "least(exp(least(greatest(old_lp - ref_lp, -20e0), 20e0)), 2e0)"
+_BLO, _BHI = _band_sql(f"greatest(1 - 0.05e0 / {_P}, 0e0)", f"least(1 + 0.05e0 / {_P}, 1 / {_P})", "0.95e0")
+_BPPO = f"CASE WHEN adv < 0 THEN least(-adv * 3e0, greatest(-adv * {_R}, -adv * least(greatest({_R}, {_BLO}), {_BHI}))) ELSE greatest(-adv * {_R}, -adv * least(greatest({_R}, {_BLO}), {_BHI})) END"
+
+
+@query(f"WITH {TOK} SELECT {KEYS_SQL}, round({_BPPO} * {_TISW}, 5) + 0.0 AS loss FROM tok")
+def bounded_policy_loss(spark: SparkSession, d: str) -> DataFrame:
+    """Policy loss under the TV band with truncated importance weights."""
+    lo, hi = B.band(F.col("old_lp"), "bandtv")
+    loss = L.bounded_policy_loss(F.col("lp"), F.col("old_lp"), F.col("adv"), lo, hi, F.col("ref_lp"))
+    return tokens(spark, d).select(*KEYS, (F.round(loss, 5) + 0.0).alias("loss"))
+
+
+@query(f"""WITH {TOK}, t AS (SELECT tok.*, o_custkey AS g, CASE WHEN o_totalprice > 150000 THEN 1e0 ELSE 0e0 END AS acc, row_number() OVER (PARTITION BY seq, mask ORDER BY pos DESC, t1 DESC, t2 DESC, t3 DESC, t4 DESC, t5 DESC) = 1 AND mask = 1 AS is_last FROM tok JOIN orders ON o_orderkey = seq),
+per AS (SELECT g, seq, coalesce(avg(CASE WHEN mask = 1 THEN reward END), 0e0) AS m, any_value(acc) AS c FROM t GROUP BY 1, 2), gr AS (SELECT g, count(*) AS n, sum(m) AS sm, sum(c) AS sc FROM per GROUP BY 1),
+v AS (SELECT t.*, mask * (CASE WHEN n > 1 THEN reward * n / (n - 1) - sm / (n - 1) ELSE reward END + CASE WHEN is_last THEN CASE WHEN n > 1 THEN acc * n / (n - 1) - sc / (n - 1) ELSE acc END ELSE 0e0 END) AS v FROM t JOIN gr USING (g)),
+r AS (SELECT *, sum(v) OVER (PARTITION BY seq ORDER BY pos, t1, t2, t3, t4, t5 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ret FROM v),
+m AS (SELECT sum(mask) AS k, sum(ret * mask) / (sum(mask) + 1e-8) AS mean FROM r), w AS (SELECT mean, (SELECT sum(mask * (ret - mean) ^ 2) FROM r) / (k + 1e-8) * k / (k - 1) AS var FROM m)
+SELECT {KEYS_SQL}, round(ret, 5) + 0.0 AS ret, round((ret - mean) / sqrt(var + 1e-8), 5) + 0.0 AS adv FROM r, w""")
+def prime_rloo(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("g"), F.when(F.col("o_totalprice") > 150000, 1.0).otherwise(0.0).alias("acc"))
+    t = A.prime_rloo(tokens(spark, d).drop("adv").join(o, "seq"), "g", "seq", ORDER, "reward", "mask", "acc")
+    return t.select(*KEYS, (F.round("ret", 5) + 0.0).alias("ret"), (F.round("adv", 5) + 0.0).alias("adv"))

@@ -48,7 +48,7 @@ def test_pairs_contrast_and_preferences(spark):
     assert {(r["a_k"], r["b_k"]) for r in J.pairs_within(df, "g", "k", ["q"]).collect()} == {(1, 2), (1, 3), (2, 3)}
     c = {r["k"]: r["contrast"] for r in J.contrast_mean(df, "g", "acc", "q").collect()}
     assert c == {1: 0.1, 2: None, 3: 0.1, 4: None}
-    assert J.concordance(df, "g", "q", "acc").first()[0] == 1.0
+    assert J.concordance(df, "g", "k", "q", "acc").first()[0] == 1.0
     p = spark.createDataFrame([("p", "A", "x", "y"), ("q", "B", "x", "y"), ("r", "Tie", "x", "y")], "p string, l string, a string, b string")
     assert [(r["p"], r["completion"]) for r in J.preference_rows(p, ["p"], "l", "a", "b").where("role = 'chosen'").orderBy("p").collect()] == [("p", "x"), ("q", "y"), ("r", "y")]
 
