@@ -151,13 +151,13 @@ def passage(item: Item, doc: Sequence[str]) -> int:
     weight = np.array([(len(t) if item.zh else 1) for t in item.toks]) * ~item.shared
     edits = np.concatenate(([0], np.cumsum(cost[:n])))
     got = np.concatenate(([0], np.cumsum(weight)))
-    at = np.arange(n + 1)
-    e = edits[None, :] - edits[:, None]
-    # An insertion before the first word of a passage lies outside it.
-    e = e - np.concatenate((np.where(hit, cost[:n], 0), [0]))[:, None]
-    length = at[None, :] - at[:, None]
-    ok = (length > 0) & (e * EDIT_SHARE <= length + 3)
-    return int((np.where(ok, got[None, :] - got[:, None], 0)).max()) if n else 0
+    best = 0
+    for i in np.flatnonzero(hit).tolist():
+        # An insertion before the first word of a passage lies outside it.
+        length = np.arange(1, n - i + 1)
+        ok = (edits[i + 1 :] - edits[i] - cost[i]) * EDIT_SHARE <= length + 3
+        best = max(best, int((np.where(ok, got[i + 1 :] - got[i], 0)).max()))
+    return best
 
 
 def leaks(text: str | None, index: Index) -> list[tuple[int, int]]:

@@ -28,7 +28,7 @@ BULLET_RE = re.compile(
 KV_RE = re.compile(r"[^:：=.!?。？！|\n$]{1,32}\s*[:：=]\s*\S[^\n]{0,24}$")
 BORDER_RE = re.compile(r"[+|:\-=─━┌┬┐├┼┤└┴┘│\s]{5,}$")
 HTML_RE = re.compile(r"</?(?:table|tr|td|th|thead|tbody)\b", re.I)
-LATEX_ROW_RE = re.compile(r"\\(?:begin|end)\{(?:tabular|array|matrix|table)|\\hline|\\(?:top|mid|bottom)rule|.*&.*\\\\$")
+LATEX_ROW_RE = re.compile(r"\\(?:begin|end)\{(?:tabular|array|matrix|table)|\\hline|\\(?:top|mid|bottom)rule")
 NUM_ITEM_RE = re.compile(r"[-+]?\d[\d.,]*\s+\S+(?:\s\S+)?$")
 SEP_RE = re.compile(r"[;,，；、•·]\s*")
 CYR_RE = re.compile("[\u0400-\u04ff]")
@@ -38,6 +38,10 @@ HEX_RE = re.compile(r"(?:0x)?[0-9a-fA-F]{4,16}[:\s]\s*(?:[0-9a-fA-F]{2}\s?){4,}"
 ENDS = tuple(".!?。！？…:;：；\"”’»)]}$*`>")
 
 
+def latex_row(line: str) -> bool:
+    return line.endswith("\\\\") and "&" in line or bool(LATEX_ROW_RE.match(line))
+
+
 def loop_coverage(text: str, most_period: int = 260) -> float:
     """Share of the text inside runs that repeat a unit of 1 to ``most_period`` characters three times or more."""
     a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -129,7 +133,7 @@ def shape(text: str) -> tuple[float, float, float, float]:
             rest.append(x)
 
     for x in lines:
-        if x.count("|") >= 2 and (x[0] == "|" or x[-1] == "|") or HTML_RE.search(x) or LATEX_ROW_RE.match(x) or len(x) >= 5 and BORDER_RE.match(x) and len(set(x) - {" "}) > 1 and x[0] in "+|┌├└│:":
+        if x.count("|") >= 2 and (x[0] == "|" or x[-1] == "|") or HTML_RE.search(x) or latex_row(x) or len(x) >= 5 and BORDER_RE.match(x) and len(set(x) - {" "}) > 1 and x[0] in "+|┌├└│:":
             flush()
             in_table += len(x)
             continue
