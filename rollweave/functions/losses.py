@@ -46,10 +46,10 @@ def masked_moments(df: DataFrame, x: str, mask: str) -> DataFrame:
 
 def whiten(df: DataFrame, x: str, mask: str, out: str, shift: bool = True) -> DataFrame:
     """Adds (x - mean) / sqrt(var + 1e-8); with ``shift`` off the mean is added back. The one-row moments are broadcast."""
-    m = masked_moments(df, x, mask).select(F.col("mean").alias("_m"), F.col("var").alias("_v"))
+    m = masked_moments(df, x, mask).select(F.col("mean").alias("_whiten_mean"), F.col("var").alias("_whiten_var"))
     j = df.crossJoin(F.broadcast(m))
-    w = (F.col(x) - F.col("_m")) / F.sqrt(F.col("_v") + GUARD)
-    return j.withColumn(out, w if shift else w + F.col("_m")).drop("_m", "_v")
+    w = (F.col(x) - F.col("_whiten_mean")) / F.sqrt(F.col("_whiten_var") + GUARD)
+    return j.withColumn(out, w if shift else w + F.col("_whiten_mean")).drop("_whiten_mean", "_whiten_var")
 
 
 def kl(lp: Column, ref: Column, kind: str) -> Column:
