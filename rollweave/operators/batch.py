@@ -31,6 +31,14 @@ def with_index(df: DataFrame, order: Sequence[str], out: str = IDX) -> DataFrame
     return part.withColumn("_l", local).join(F.broadcast(before), "_p").withColumn(out, (F.col("_l") + F.col("_before")).cast("bigint")).drop("_p", "_m", "_l", "_before")
 
 
+def first_share(df: DataFrame, order: Sequence[str], share: float, least: int = 0) -> DataFrame:
+    """The first max(least, floor(share * n)) rows in the order of ``order``: by distributed positions, as a limit that grows
+    with the table would pass all of them through one task."""
+    d = with_index(df, order, "_first")
+    n = d.agg(F.greatest(F.floor(F.count("*") * F.lit(share)), F.lit(least)).alias("_most"))
+    return d.crossJoin(F.broadcast(n)).where("_first < _most").drop("_first", "_most")
+
+
 def select_positions(df: DataFrame, positions: DataFrame, idx: str = IDX) -> DataFrame:
     """Gather by a list of positions, which may repeat: ``positions`` has (pos, idx); the result has pos as its position."""
     return positions.join(df, idx).drop(idx).withColumnRenamed("pos", idx)

@@ -108,9 +108,10 @@ def accuracy_filter(df: DataFrame, group: str, acc: str, length: str, low: float
 
 def downsample(df: DataFrame, group: str, acc: str, length: str, order: Sequence[str], low: float, high: float, most_len: int, oversample: float) -> DataFrame:
     """Passing groups first, then the others, cut to rows / oversample."""
-    d = accuracy_filter(df, group, acc, length, low, high, most_len)
-    n = d.agg(F.floor(F.count("*") / oversample).alias("n")).first()["n"]
-    return d.orderBy(F.desc("passes"), group, *order).limit(int(n or 0))
+    from rollweave.operators.batch import first_share
+
+    d = accuracy_filter(df, group, acc, length, low, high, most_len).withColumn("_f", ~F.col("passes"))
+    return first_share(d, ["_f", group, *order], 1 / oversample).drop("_f")
 
 
 def has_chinese(c: Column) -> Column:

@@ -9,6 +9,7 @@ from rollweave.functions import bounds as B
 from rollweave.functions import losses as L
 from rollweave.operators import advantages as A
 from rollweave.operators import aggregates as G
+from rollweave.operators.batch import first_share
 from rollweave.plans.registry import query, r6
 from rollweave.session import table
 
@@ -212,8 +213,8 @@ _COV = f"m AS (SELECT {_mm('adv')} AS ma, {_mm('lp')} AS ml FROM tok), cov AS (S
 @query(f"WITH {TOK}, {_COV}, k AS (SELECT greatest(1, floor(count(*) * 0.01e0)) AS k FROM cov WHERE mask = 1), r AS (SELECT *, row_number() OVER (ORDER BY c DESC, {KEYS_SQL}) AS rn FROM cov WHERE mask = 1) SELECT {KEYS_SQL}, round(c, 6) + 0.0 AS c FROM r, k WHERE rn <= k")
 def kl_cov_top_tokens(spark: SparkSession, d: str) -> DataFrame:
     t = L.covariance(tokens(spark, d), "lp", "adv", "mask", "c").where("mask = 1")
-    n = t.count()
-    return t.orderBy(F.desc("c"), *KEYS).limit(max(1, int(n * 0.01))).select(*KEYS, r6("c").alias("c"))
+    top = first_share(t.withColumn("down", -F.col("c")), ["down", *KEYS], 0.01, 1)
+    return top.select(*KEYS, r6("c").alias("c"))
 
 
 @query(f"WITH {TOK}, {_COV} SELECT {KEYS_SQL}, round(c, 6) + 0.0 AS c FROM cov WHERE mask = 1 AND c BETWEEN 0.02e0 AND 0.06e0 ORDER BY (seq * 2654435761 + pos) % 4294967296, {KEYS_SQL} LIMIT 100")

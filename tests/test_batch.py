@@ -110,3 +110,10 @@ def test_stratified_counts_equal_targets(spark):
     df = spark.createDataFrame([(i, "ab"[i % 2] if i % 5 else None) for i in range(100)], "k bigint, g string")
     n = {r["g"]: r["count"] for r in S.stratified(df, "g", S.arithmetic_key("k"), "k", 0.1, "floor", 3, 4).groupBy("g").count().collect()}
     assert n == {"a": 4, "b": 4, None: 3}
+
+
+def test_first_share(spark):
+    df = frame(spark, 10)
+    assert rows(B.first_share(df, ["idx"], 0.35, 1)) == ["r0", "r1", "r2"]
+    assert rows(B.first_share(df, ["idx"], 0.01, 1)) == ["r0"]
+    assert B.first_share(df.limit(0), ["idx"], 0.5, 1).count() == 0
