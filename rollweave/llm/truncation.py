@@ -9,6 +9,7 @@ last words are complete if texts of the source (or all texts) close their last s
 from __future__ import annotations
 
 import re
+from collections import Counter
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -59,36 +60,45 @@ def tail_key(text: str) -> str:
 
 
 def open_structures(text: str) -> list[str]:
-    """What the stack automaton finds open at the end of the text."""
+    """What the stack automaton finds open at the end of the text. Linear: ``depth`` tells without a search what the stack holds."""
     stack: list[str] = []
+    depth: Counter[str] = Counter()
+
+    def push(x: str) -> None:
+        stack.append(x)
+        depth[x] += 1
+
+    def close(x: str) -> None:
+        while (y := stack.pop()) != x:
+            depth[y] -= 1
+        depth[x] -= 1
+
     for m in STACK_RE.finditer(text):
         x = m[0]
         if x in ("```", "$$", "$"):
-            if x in stack:
-                del stack[stack.index(x) :]
+            if depth[x]:
+                close(x)
             else:
-                stack.append(x)
+                push(x)
         elif x[0] == "<":
             name = m[2].lower()
-            if m[1]:
-                if name in stack:
-                    del stack[len(stack) - 1 - stack[::-1].index(name) :]
-            else:
-                stack.append(name)
+            if not m[1]:
+                push(name)
+            elif depth[name]:
+                close(name)
         elif x == "\\begin{":
-            stack.append("env")
+            push("env")
         elif x == "\\end{":
-            if "env" in stack:
-                del stack[len(stack) - 1 - stack[::-1].index("env") :]
+            if depth["env"]:
+                close("env")
         elif x in PAIRS:
             o = PAIRS[x]
-            if stack and stack[-1] == o or o == "“" and stack and stack[-1] == "„":
-                stack.pop()
-        elif x in "([{“«„":
-            if not (x == "“" and stack and stack[-1] == "„"):
-                stack.append(x)
-            else:
-                stack.pop()
+            if stack and (stack[-1] == o or o == "“" and stack[-1] == "„"):
+                close(stack[-1])
+        elif x == "“" and stack and stack[-1] == "„":
+            close("„")
+        else:
+            push(x)
     return stack
 
 
@@ -137,7 +147,7 @@ def tail(text: str | None) -> Tail:
     lines = [y for y in (x.strip() for x in core.split("\n")) if y]
     listed = [x for x in lines if ts.BULLET_RE.match(x)]
     items = len(listed) >= 2 and len(listed) * 2 >= len(lines) - 1
-    unclosed = open_structures(core if len(core) < 4000 or "```" in core or "\\begin" in core or "<t" in core else core[core.rfind("\n\n", 0, len(core) - 200) + 1 :]) if re.search(r"[(\[{“„«$<`\\]", core) else []
+    unclosed = open_structures(core) if re.search(r"[(\[{“„«$<`\\]", core) else []
     if unclosed:
         return Tail("cut", None, False, ())
     if CLOSED_RE.search(core):

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from rollweave.llm import pairs, textkit, textstats, truncation
@@ -121,3 +123,15 @@ def test_very_long_texts():
         assert len(textstats.profile(t)) == 1 + len(textstats.STATS)
         assert truncation.tail(t).state in ("none", "complete", "cut", "open", "item")
         assert not pairs.is_refusal(t) and not pairs.is_copy(t, PROMPT) and not pairs.is_empty(t)
+
+
+@pytest.mark.parametrize("n", [1, 40])
+@pytest.mark.parametrize(("start", "state"), [("First (as the task says", "cut"), ("He writes “so it is", "cut"), ("Take $$x = 4", "cut"), ("First (as the task says)", "complete")])
+def test_open_structures_at_every_length(n, start, state):
+    assert truncation.tail(f"{start} and goes on.\n\n" + (PROSE + "\n\n") * n).state == state
+
+
+def test_open_structures_are_linear():
+    began = time.process_time()
+    assert len(truncation.open_structures("(" * 100_000 + "$ " * 100_001)) == 100_001
+    assert time.process_time() - began < 5
