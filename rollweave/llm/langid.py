@@ -357,7 +357,7 @@ def detect_many(texts: Sequence[str | None], scorer: Scorer, least_words: int =
 
 def _junk(t: str, w: int, h: int, common: int, letters: int, ids: list[int], a: int, b: int) -> bool:
     """Junk as in the text statistics; clearly natural texts are told from the word counts at hand."""
-    if common * 4 >= w + h and letters * 2 > len(t) - t.count(" ") and len(set(ids[a:b])) * 5 > (b - a) * 2:
+    if common * 4 >= w + h and letters * 2 > len(t) - t.count(" ") and len(set(ids[a:b])) * 5 > (b - a) * 2 and not ts.may_loop(t):
         return False
     return ts.is_junk(t)
 

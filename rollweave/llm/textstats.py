@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator, Mapping
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -38,21 +39,90 @@ HEX_RE = re.compile(r"(?:0x)?[0-9a-fA-F]{4,16}[:\s]\s*(?:[0-9a-fA-F]{2}\s?){4,}"
 ENDS = tuple(".!?。！？…:;：；\"”’»)]}$*`>")
 
 
+BLANKS = np.array([ord(c) for c in " \t\r\n\u00a0\u3000"], dtype=np.uint32)
+
+
 def latex_row(line: str) -> bool:
     return line.endswith("\\\\") and "&" in line or bool(LATEX_ROW_RE.match(line))
 
 
-def loop_coverage(text: str, most_period: int = 260) -> float:
-    """Share of the text inside runs that repeat a unit of 1 to ``most_period`` characters three times or more."""
+def _joined(h: np.ndarray, g: np.ndarray, at: int) -> np.ndarray:
+    """Hashes of the windows made of one of ``h``, ``at`` characters long, and the one of ``g`` behind it."""
+    n = min(len(h), len(g) - at)
+    return (h[:n] ^ h[:n] >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + g[at : at + n] * np.uint64(0x94D049BB133111EB)
+
+
+def _windows(a: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every window of ``size`` (a power of two) characters."""
+    h, k = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019), 1
+    while k < size:
+        h = _joined(h, h, k)
+        k *= 2
+    return h
+
+
+def _eights(text: str) -> np.ndarray:
+    """A number for every window of eight characters: their bytes, or a hash of these."""
+    n = len(text) - 7
+    try:
+        return np.ndarray((n,), np.uint64, text.encode("latin-1"), 0, (1,))
+    except UnicodeEncodeError:
+        b = text.encode("utf-16-le", "surrogatepass")
+    if len(b) == 2 * len(text):
+        return np.ndarray((n,), np.uint64, b, 0, (2,)) * np.uint64(0x9E3779B97F4A7C15) ^ np.ndarray((n,), np.uint64, b, 8, (2,))
+    return _windows(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), 8)
+
+
+def may_loop(text: str) -> bool:
+    """Necessary for loops (of 42 characters or more each) over more than half of the text: a quarter of its windows of
+    eight characters recur.
+
+    A run of r characters has r - 7 windows, of which at most r / 3 differ: half of r or more recur.
+    """
+    n = len(text)
+    if n < 96:
+        return n >= 12
+    h = np.sort(_eights(text))
+    return np.count_nonzero(h[1:] == h[:-1]) * 4 >= n
+
+
+def _long_periods(a: np.ndarray, least: int) -> Iterator[int]:
+    """Every period of ``least`` characters or more of a run that holds its unit three times.
+
+    In such a run a window of 1 to 1.5 periods recurs first after one period, so the distances at which windows of sizes
+    that grow by half recur give all periods; equal hashes are candidates only.
+    """
+    half = 1 << (least.bit_length() - 2)
+    below = least - 1
+    if below >= len(a) * 2 // 5:
+        return
+    g = _windows(a, half)
+    while below < len(a) * 2 // 5:
+        h = _joined(g, g, half)  # 2 * half
+        for size, w in ((2 * half, h), (3 * half, _joined(h, g, 2 * half))):
+            order = np.argsort(w, kind="stable")
+            gap = np.diff(order)[w[order[1:]] == w[order[:-1]]]
+            yield from np.unique(gap[(gap > below) & (gap <= min(size, len(a) * 2 // 5))]).tolist()
+            below = max(below, size)
+        g, half = h, 2 * half
+
+
+def loop_coverage(text: str, short_period: int = 260) -> float:
+    """Share of the text inside runs that repeat a unit three times or more, the blanks after the last one not counted.
+
+    Units up to ``short_period`` characters are tried one by one, longer ones as the recurrence of their windows gives them.
+    """
     a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     n, best = len(a), 0
-    for p in range(1, min(n // 3, most_period) + 1):
+    solid = np.append(np.flatnonzero(~np.isin(a, BLANKS)), n)
+    for p in chain(range(1, min(n * 2 // 5, short_period) + 1), _long_periods(a, short_period + 1)):
         eq = a[p:] == a[:-p]
         if np.count_nonzero(eq) * 3 < n:
             continue
         edge = np.flatnonzero(np.diff(np.concatenate(([0], eq.view(np.int8), [0]))))
-        runs = edge[1::2] - edge[::2]
-        runs = runs[(runs >= 2 * p) & (runs >= 12)]
+        runs, end = edge[1::2] - edge[::2], edge[1::2]
+        blank = solid[np.searchsorted(solid, end)] - end  # blanks that the unit would go on with
+        runs = runs[(runs + np.minimum(blank, p // 2) >= 2 * p) & (runs >= 12)]
         best = max(best, int(runs.sum()) + p * len(runs))
         if best > 0.9 * n:
             break
@@ -137,7 +207,7 @@ def shape(text: str) -> tuple[float, float, float, float]:
             flush()
             in_table += len(x)
             continue
-        cells = _cells(x) if len(x) < 240 else None
+        cells = _cells(x)
         if cells:
             if rows and rows[-1][1] != cells:
                 flush()
@@ -188,7 +258,7 @@ def profile(text: str | None) -> tuple:
     ended = sum(1 for x in lines if x.rstrip().endswith(ENDS))
     distinct = len(set(ws)) / max(1, nw)
     in_list, in_table, loop, junk = shape(t)
-    if in_table < 0.5 and (distinct < 0.4 or (symbols + digits) * 3 > n):
+    if in_table < 0.5 and (distinct < 0.4 or (symbols + digits) * 3 > n or may_loop(t)):
         loop = loop_coverage(t)
         if loop > 0.5:
             junk = max(junk, loop)
@@ -206,7 +276,7 @@ def is_junk(text: str, least_chars: int = 30) -> bool:
     if n < least_chars:
         return False
     ws = tk.lower_words(t)
-    if _natural(t, 5) == 1.0 and len(set(ws)) * 5 > len(ws) * 2 and (n - sum(map(len, ws)) - t.count(" ")) * 3 < n:
+    if _natural(t, 5) == 1.0 and len(set(ws)) * 5 > len(ws) * 2 and (n - sum(map(len, ws)) - t.count(" ")) * 3 < n and not may_loop(t):
         return False
     p = profile(t)
     return p[-1] >= 0.5 and p[-1] >= max(p[-4], p[-3])

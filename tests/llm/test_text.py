@@ -1,3 +1,4 @@
+import random
 import time
 
 import pytest
@@ -135,3 +136,28 @@ def test_open_structures_are_linear():
     began = time.process_time()
     assert len(truncation.open_structures("(" * 100_000 + "$ " * 100_001)) == 100_001
     assert time.process_time() - began < 5
+
+
+PARAGRAPH = (PROSE + " Next, the remaining quarter follows from what was given above, since every other part has its own value by now. The larger number therefore belongs to the second group, and what remains to be shown is that no smaller choice would do.").strip()
+
+
+@pytest.mark.parametrize(("text", "junk"), [(f"{PARAGRAPH}\n\n" * 3, True), (PARAGRAPH * 12, True), (f"{PARAGRAPH}\n\n" * 2, False), ("".join(map(chr, range(0x4E00, 0x4E00 + 700))) * 3 + PARAGRAPH, True), (f"{PARAGRAPH}\n\n" * 3 + " ".join(f"The {chr(97 + i)}{chr(110 - i)}word is of use to all." for i in range(10)), True)])
+def test_loops_of_long_paragraphs(text, junk):
+    assert len(PARAGRAPH) > 260
+    assert (textstats.loop_coverage(text) > 0.5) == junk == textstats.is_junk(text) == (textstats.profile(text)[-1] >= 0.5)
+
+
+def test_long_periods_as_tried_one_by_one():
+    rng = random.Random(5)
+    for _ in range(60):
+        u = "".join(rng.choices("ab ", k=rng.randint(200, 900)))
+        u = u + u[: rng.randint(0, 400)] + "c" * rng.randint(0, 1)
+        t = "".join(rng.choices("abc", k=rng.randint(0, 300))) + u * rng.randint(2, 5) + u[: rng.randint(0, 90)]
+        got, want = textstats.loop_coverage(t), textstats.loop_coverage(t, len(t))
+        assert (got > 0.5) == (want > 0.5) and (want <= 0.5 or textstats.may_loop(t))
+
+
+def test_wide_rows_are_a_table():
+    for d in ",;\t":
+        text = "\n".join(d.join(f"{r * 7}.{c}" for c in range(90)) for r in range(4))
+        assert min(map(len, text.split("\n"))) > 240 and textstats.shape(text)[1] == 1.0
