@@ -22,9 +22,14 @@ from rollweave.llm import textkit as tk
 from rollweave.llm import textstats as ts
 from rollweave.llm import truncation as tr
 
-PLACEHOLDER_RE = re.compile(r"(?:null|none|nil|nan|n/?a|undefined|tbd|todo|\[?no (?:output|response|answer|content)\]?|\[?empty\]?|\(?blank\)?|&nbsp;|\\boxed\{\s*\}|\$\$?\s*\$\$?)", re.I)
-HTML_ANY_RE = re.compile(r"</?[a-zA-Z][^<>\n]{0,60}>|<!--.*?-->|&[a-zA-Z]{2,8};|&#\d+;", re.S)
-EMPTY_LABEL_RE = re.compile(rf"{tr.LABELS}\s*[:：=]?", re.I)
+PLACEHOLDER_RE = re.compile(r"(?<![^\W_])(?:null|none|nil|nan|n/?a|undefined|tbd|todo)+(?![^\W_])|\[no (?:output|response|answer|content)\]|(?<![^\W_])no (?:output|response|answer|content)(?![^\W_])|\[?(?<![^\W_])empty(?![^\W_])\]?|\(?(?<![^\W_])blank(?![^\W_])\)?|&nbsp;|\\boxed\{\s*\}|\$\$?\s*\$\$?", re.I)
+HTML_ANY_RE = re.compile(r"</?[a-zA-Z][^<>\n]{0,60}>|&[a-zA-Z]{2,8};|&#\d+;")
+#: A label has its colon or ends its line; a row of bare label words is a loop.
+EMPTY_LABEL_RE = re.compile(rf"{tr.LABELS}(?:\s*[:：=]|(?=(?:[^\w\n]|_)*$))", re.I | re.M)
+ALNUM_RE = re.compile(r"[^\W_]+")
+PLAIN_RE = re.compile(r"[^<&`\[\\$]*(?<=[\W_])")
+#: Words that are a placeholder or label only together with their neighbours.
+PART_WORDS = frozenset("final n a no output response answer content".split())
 
 
 def is_empty(text: str | None) -> bool:
@@ -34,16 +39,38 @@ def is_empty(text: str | None) -> bool:
     """
     if text is None:
         return True
-    if len(text) > 400:
-        return not text.strip()
-    t = tk.INVISIBLE_RE.sub("", text)
+    # Plain words before any mark-up settle most texts.
+    start = PLAIN_RE.match(tk.TAG_RE.sub(" ", tk.INVISIBLE_RE.sub("", text[:400])))
+    if start and any(_is_word(m[0]) for m in ALNUM_RE.finditer(start[0])):
+        return False
+    t = _bare(tk.INVISIBLE_RE.sub("", text))
+    return not ALNUM_RE.search(t) and len(t.strip()) < 30
+
+
+@lru_cache(65_536)
+def _is_word(w: str) -> bool:
+    """Whether a word can be no part of a placeholder or label."""
+    return w.lower() not in PART_WORDS and bool(ALNUM_RE.search(_bare(w)))
+
+
+def _bare(t: str) -> str:
+    """The text without comments, tags, mark-up, entities, placeholders and, where something else is left, answer labels."""
+    if "<!--" in t:
+        t = _uncommented(t)
     t = tk.TAG_RE.sub(" ", t)
     t = re.sub(r"```\w*", " ", t)
     t = HTML_ANY_RE.sub(" ", t)
-    t = PLACEHOLDER_RE.sub(" ", t) if len(t) < 60 else t
-    if any(map(str.isalnum, t)) and len(t) < 80:
-        t = EMPTY_LABEL_RE.sub(" ", t)
-    return not any(map(str.isalnum, t)) and len(t.strip()) < 30
+    t = PLACEHOLDER_RE.sub(" ", t)
+    return EMPTY_LABEL_RE.sub(" ", t) if ALNUM_RE.search(t) else t
+
+
+def _uncommented(t: str) -> str:
+    """The text without ``<!-- -->``; one that isn't closed stays."""
+    parts, at = [], 0
+    while (a := t.find("<!--", at)) >= 0 and (b := t.find("-->", a + 4)) >= 0:
+        parts.append(t[at:a])
+        at = b + 3
+    return " ".join([*parts, t[at:]])
 
 
 #: Declining phrases by language; each entry is (what declines, what shows that the text goes on).

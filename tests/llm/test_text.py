@@ -161,3 +161,16 @@ def test_wide_rows_are_a_table():
     for d in ",;\t":
         text = "\n".join(d.join(f"{r * 7}.{c}" for c in range(90)) for r in range(4))
         assert min(map(len, text.split("\n"))) > 240 and textstats.shape(text)[1] == 1.0
+
+
+@pytest.mark.parametrize("unit", ["\u200b", "&nbsp;", "<|pad|>", "<think></think>\n", "null ", "[no output]\n", "Answer: ", "\\boxed{\n}\n", "final\nanswer\n", "<!-- nothing\n to see -->\n", " \n"])
+@pytest.mark.parametrize("size", [90, 390, 410, 4000])
+def test_empty_at_every_length(unit, size):
+    assert pairs.is_empty(unit * (size // len(unit) + 1))
+    assert not pairs.is_empty(unit * (size // len(unit) + 1) + "So 5 it is")
+
+
+def test_emptiness_is_linear():
+    began = time.process_time()
+    assert not pairs.is_empty("-->" + "<!--" * 100_000 + "x")
+    assert time.process_time() - began < 5
