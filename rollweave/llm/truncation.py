@@ -197,39 +197,46 @@ def last_number(text: str) -> str | None:
     return m[0] if m else None
 
 
-
-def closing_keys(tails: DataFrame, source: str, least: int = 2, least_share: float = 0.0005, source_share: float = 0.002, least_source: float = 0.001) -> DataFrame:
+def closing_keys(tails: DataFrame, source: str, least: int = 2, least_share: float = 0.0005, source_share: float = 0.002) -> DataFrame:
     """(source, kind, tail_key) of keys that close texts (kind open) or list entries (kind item) of a source; under a
     null source those of all sources together.
 
     A key counts where ``least`` texts and ``least_share`` of those that close properly end with it (``source_share`` within
-    a source), and a source has a baseline of its own where it holds ``least_source`` of them; smaller ones are held against
-    the corpus alone. So there are at most 1 / least_share + 1 / (source_share * least_source) keys of a kind: broadcast by bound.
+    a source, whatever its size). So there are at most 1 / least_share keys of a kind over all sources, broadcast by bound;
+    those of the single sources grow with the number of sources and are joined by shuffle.
     """
     ends = tails.where("closing and tail_key <> ''").select(F.col(source).alias("src"), F.lit("open").alias("kind"), "tail_key")
     items = tails.where("size(item_keys) > 0").select(F.col(source).alias("src"), F.lit("item").alias("kind"), F.explode("item_keys").alias("tail_key")).where("tail_key <> ''")
     by_source = ends.unionByName(items).groupBy("src", "kind", "tail_key").agg(F.count("*").alias("n"))
     every = by_source.groupBy("kind", "tail_key").agg(F.sum("n").alias("n")).withColumn("src", F.lit(None).cast("string"))
-    counts = by_source.where("src is not null").unionByName(every)
-    total = counts.groupBy("src", "kind").agg(F.sum("n").alias("total")).withColumnsRenamed({"src": "s", "kind": "k"})
-    whole = total.where("s is null").select(F.col("k").alias("k2"), F.col("total").alias("whole"))
-    total = total.join(F.broadcast(whole), F.col("k") == F.col("k2")).where(F.col("total") >= F.col("whole") * least_source)
-    j = counts.join(total, counts["src"].eqNullSafe(F.col("s")) & (F.col("kind") == F.col("k")))
-    share = F.when(F.col("src").isNull(), least_share).otherwise(source_share)
-    return j.where((F.col("n") >= least) & (F.col("n") >= F.col("total") * share)).select("src", "kind", "tail_key")
 
+    def frequent(counts: DataFrame, share: float, by: list[str]) -> DataFrame:
+        total = counts.groupBy(*by).agg(F.sum("n").alias("total"))
+        kept = counts.where(F.col("n") >= least)
+        j = kept.join(F.broadcast(total), by) if by == ["kind"] else kept.join(total, by)
+        return j.where(F.col("n") >= F.col("total") * share).select("src", "kind", "tail_key")
+
+    return frequent(by_source.where("src is not null"), source_share, ["src", "kind"]).unionByName(frequent(every, least_share, ["kind"]))
 
-def mark_cut(tails: DataFrame, source: str, truth: str | None = None) -> DataFrame:
+
+def mark_cut(tails: DataFrame, source: str, truth: str | None = None, salts: int = 16) -> DataFrame:
     """Adds ``is_cut`` to the rows of ``tails``: structurally cut, or open with last words that close no text (entry)
     of the source nor of the corpus. A null source is held against the corpus alone.
 
     ``truth`` may name a column with the expected answer: a text that ends, without a terminator, in a number that is
     the beginning of the longer expected number was cut inside it.
+
+    Only open ends that the corpus doesn't settle are shuffled to the keys of their source, each key in ``salts`` parts.
     """
     keys = closing_keys(tails.select(source, "closing", "tail_key", "item_keys"), source)
     own = keys.where("src is not null").select(F.col("src").alias(source), F.col("kind").alias("state"), "tail_key", F.lit(True).alias("closes_here"))
+    own = own.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     every = keys.where("src is null").select(F.col("kind").alias("state"), "tail_key", F.lit(True).alias("closes"))
-    j = tails.join(F.broadcast(own), [source, "state", "tail_key"], "left").join(F.broadcast(every), ["state", "tail_key"], "left")
+    j = tails.join(F.broadcast(every), ["state", "tail_key"], "left")
+    asks = F.coalesce(F.col("state").isin("open", "item") & F.col("closes").isNull() & F.col(source).isNotNull(), F.lit(False))
+    salted = j.where(asks).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    held = salted.join(own, [source, "state", "tail_key", "_salt"], "left").drop("_salt")
+    j = held.unionByName(j.where(~asks).withColumn("closes_here", F.lit(None).cast("boolean")))
     shut = F.coalesce("closes_here", "closes", F.lit(False))
     if truth:
         t = F.trim(F.col(truth))

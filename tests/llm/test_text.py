@@ -174,3 +174,13 @@ def test_emptiness_is_linear():
     began = time.process_time()
     assert not pairs.is_empty("-->" + "<!--" * 100_000 + "x")
     assert time.process_time() - began < 5
+
+
+def test_small_sources_have_their_own_baseline(spark):
+    big = [(i, "big", f"Some text comes first. Therefore the value we are looking for is {i}.") for i in range(6000)]
+    small = [(9000 + i, "small", f"Some text comes first. And thus ends run {i}.") for i in range(3)]
+    asked = [(9100, "small", "Some text comes first. And thus ends run 7"), (9101, "small", "Some text comes first. And thus en"), (9102, None, "Some text comes first. And thus ends run 7"), (9103, "big", "Some text comes first. And thus ends run 7")]
+    df = spark.createDataFrame([*big, *small, *asked, asked[0]], "id bigint, src string, text string").selectExpr("*", "cast(null as string) AS prompt", "cast(null as string) AS truth")
+    f = truncation.mark_cut(pairs.pair_features(df, "id", "prompt", "text", ["src", "truth"]), "src", "truth")
+    assert f.count() == df.count()
+    assert sorted(r["id"] for r in f.where("is_cut").collect()) == [9101, 9102, 9103]
