@@ -224,9 +224,9 @@ SCORERS: dict[str, Callable[[Column, Column], Column]] = {
 }
 
 
-def dispatch(source: Column, response: Column, truth: Column, by: dict[str, str]) -> Column:
-    """Score by data source; ``by`` names the scorer of each. A source without one raises."""
-    out = F.raise_error(F.concat(F.lit("no scorer for "), F.coalesce(source, F.lit("null")))).cast("double")
+def dispatch(source: Column, response: Column, truth: Column, by: dict[str, str], strict: bool = True) -> Column:
+    """Score by data source; ``by`` names the scorer of each. A source without one raises, or gives null where not ``strict``."""
+    out = F.lit(None).cast("double") if not strict else F.raise_error(F.concat(F.lit("no scorer for "), F.coalesce(source, F.lit("null")))).cast("double")
     for name, scorer in by.items():
         out = F.when(source == name, SCORERS[scorer](response, truth)).otherwise(out)
     return out

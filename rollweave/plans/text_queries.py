@@ -146,9 +146,10 @@ def math_boxed_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def scorer_dispatch(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, ROLL).where("data_source in ('step_arith', 'grade_words', 'geo_sketch', 'count_bench')").select("line_no", "data_source", "response_text", "ground_truth")
+    """A row for every rollout, sources in any spelling; the score is null where the source has no scorer."""
+    r = table(spark, d, ROLL).select("line_no", F.translate(F.lower(F.trim("data_source")), "-", "_").alias("source"), "response_text", "ground_truth")
     by = {"step_arith": "math_dapo", "grade_words": "math", "geo_sketch": "geo3k", "count_bench": "char_count"}
-    return r.select("line_no", S.dispatch(F.col("data_source"), F.col("response_text"), F.col("ground_truth"), by).alias("score"))
+    return r.select("line_no", S.dispatch(F.col("source"), F.col("response_text"), F.col("ground_truth"), by, strict=False).alias("score"))
 
 
 @query(f"SELECT line_no, round(least(-(response_len_tokens - (256 - 64)) / 64e0 * 0.5e0, 0e0), 6) + 0.0 AS penalty FROM {ROLL}")

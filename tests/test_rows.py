@@ -156,3 +156,14 @@ def test_curriculum(spark):
     df = spark.createDataFrame([("a", 1.0, 1), ("b", 0.0, 2), ("c", 0.5, 3)], "g string, s double, k int")
     c.update(df.where("g <> 'c'"), "g", "s")
     assert [r["g"] for r in c.order(df, "g", "k").collect()] == ["c", "b", "a"]
+
+
+def test_scorer_dispatch_covers_every_rollout(spark, tmp_path):
+    from rollweave.plans.text_queries import scorer_dispatch
+
+    sources = ["step_arith", "step-arith", "STEP_ARITH", "step_arith ", "olymp_lite", None]
+    df = spark.createDataFrame([(i, s, "Answer: 5", "5") for i, s in enumerate(sources)], "line_no bigint, data_source string, response_text string, ground_truth string")
+    df.write.parquet(f"{tmp_path}/filtered_random4by53.parquet")
+    got = {r["line_no"]: r["score"] for r in scorer_dispatch(spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(6)) and got[4] is None and got[5] is None
+    assert got[0] is not None and got[0] == got[1] == got[2] == got[3]
