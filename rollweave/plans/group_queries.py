@@ -409,8 +409,9 @@ def seqlen_unbalance(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def weighted_resample(spark: SparkSession, d: str) -> DataFrame:
+    """As many draws, with replacement, as the table has rows."""
     s = sequences(spark, d)
-    return S.resample(s, "k", S.pf_weights(F.col("score")), 1000, 42).select("draw", "k")
+    return S.resample(s, "k", S.pf_weights(F.col("score")), s.count(), 42).select("draw", "k")
 
 
 @query("SELECT CAST(window_start AS TIMESTAMP) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT date_trunc('day', ts) AS window_start, event_type, value FROM events) GROUP BY 1, 2")

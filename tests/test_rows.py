@@ -167,3 +167,11 @@ def test_scorer_dispatch_covers_every_rollout(spark, tmp_path):
     got = {r["line_no"]: r["score"] for r in scorer_dispatch(spark, str(tmp_path)).collect()}
     assert sorted(got) == list(range(6)) and got[4] is None and got[5] is None
     assert got[0] is not None and got[0] == got[1] == got[2] == got[3]
+
+
+def test_weighted_resample_draws_as_many_as_there_are_rows(spark, tmp_path):
+    from rollweave.plans.group_queries import weighted_resample
+
+    spark.range(2500).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey", "cast(1000 + id AS double) AS o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    got = weighted_resample(spark, str(tmp_path))
+    assert sorted(r["draw"] for r in got.collect()) == list(range(2500))
