@@ -131,11 +131,12 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_leaks(spark, d).select("doc_id", "item_id")
+    return p7_leaks(spark, d).where("leak = 'verbatim'").select("doc_id", "item_id")
 
 
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with the items leaked into them and the size of the longest passage (words; characters for Chinese)."""
+    """Documents with the items leaked into them, verbatim or re-parameterised, and the size of the longest passage (words;
+    characters for Chinese)."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     return leakage.find_leaks(docs, table(spark, d, "eval_items"), "doc_id", "text", "item_id", "text")
 
