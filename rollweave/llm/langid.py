@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from rollweave.llm import resources
 from rollweave.llm import textkit as tk
 from rollweave.llm import textstats as ts
 
@@ -31,18 +32,15 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 RESPONSE_LANGS = ("en", "zh", "de", "fr", "es", "ru")
 FLOOR = 1e-7
 #: Share of the mean of all languages in each language's piece probabilities; bounds what one unknown word can do.
-BACKGROUND = 0.1
-#: Added log score of a common word of a language.
-COMMON_BONUS = 1.5
-#: Weight of a language's common words in the fit, as a share of its text.
+BACKGROUND = 0.2
+#: Weight of a language's common words among the words of the fit, as a share of its text.
 COMMON_MASS = 0.3
 SCALE = math.exp(1.8)
-LONGEST_WORD = {True: 8, False: 24}
 
 _vocabularies: dict[str, frozenset[bytes]] = {}
 
 
-def vocabulary(path: str = VOCABULARY) -> frozenset[bytes]:
+def vocabulary(path: str) -> frozenset[bytes]:
     if path not in _vocabularies:
         with open(path, "rb") as f:
             pieces = {base64.b64decode(line.split()[0]) for line in f if line.strip()}
@@ -60,12 +58,9 @@ class LanguageModel(NamedTuple):
     prior: np.ndarray
 
 
-def _chunks(word: str) -> list[bytes]:
-    han = "㐀" <= word[0] <= "鿿"
-    size = LONGEST_WORD[han]
-    parts = [word[i : i + size] for i in range(0, len(word), size)]
-    lead = b"" if han else b" "
-    return [(lead if i == 0 else b"") + p.encode("utf-8", "replace") for i, p in enumerate(parts)]
+def _lattice(word: str) -> bytes:
+    """The bytes that the pieces of a word cover; words of alphabetic scripts begin with their blank."""
+    return ("" if "㐀" <= word[0] <= "鿿" else " ").encode() + word.encode("utf-8", "replace")
 
 
 def _expected(chunk: bytes, p: dict[bytes, float], voc: frozenset[bytes]) -> list[tuple[bytes, float]]:
@@ -75,47 +70,58 @@ def _expected(chunk: bytes, p: dict[bytes, float], voc: frozenset[bytes]) -> lis
     fwd = [1.0] + [0.0] * n
     for i, j, piece in edges:
         fwd[j] += fwd[i] * p.get(piece, FLOOR) * SCALE ** (j - i)
+    total = fwd[n]
+    if not 1e-250 < total < 1e250:
+        return _expected_log(n, edges, p)
     bwd = [0.0] * n + [1.0]
     for i, j, piece in reversed(edges):
         bwd[i] += bwd[j] * p.get(piece, FLOOR) * SCALE ** (j - i)
-    total = fwd[n]
-    if total <= 0:
-        return []
     return [(piece, fwd[i] * p.get(piece, FLOOR) * SCALE ** (j - i) * bwd[j] / total) for i, j, piece in edges]
 
 
-def fit(counts: dict[str, Counter[str]], langs: Sequence[str], path: str = VOCABULARY, rounds: int = 2, word_types: int = 2500, prior: dict[str, float] | None = None) -> LanguageModel:
+def _expected_log(n: int, edges: Sequence[tuple[int, int, bytes]], p: dict[bytes, float]) -> list[tuple[bytes, float]]:
+    """The same for words so long that their probability leaves the range of floats."""
+    fwd, bwd = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+    cost = [math.log(p.get(piece, FLOOR)) for _, _, piece in edges]
+    for (i, j, _), c in zip(edges, cost):
+        fwd[j] = float(np.logaddexp(fwd[j], fwd[i] + c))
+    for (i, j, _), c in zip(reversed(edges), reversed(cost)):
+        bwd[i] = float(np.logaddexp(bwd[i], bwd[j] + c))
+    return [(piece, math.exp(fwd[i] + c + bwd[j] - fwd[n])) for (i, j, piece), c in zip(edges, cost)]
+
+
+def fit(counts: dict[str, Counter[str]], langs: Sequence[str], path: str = VOCABULARY, rounds: int = 1, prior: dict[str, float] | None = None) -> LanguageModel:
     """Fits piece probabilities from word counts by language.
 
-    ``word_types`` bounds the word types per language that enter the fit (the most frequent ones). Languages
-    without any text get the counts of their common words.
+    Each language's common words enter with ``COMMON_MASS``; they are all that a language without any text has.
     """
+    path = resources.path(path)
     voc = vocabulary(path)
     probs: list[dict[bytes, float]] = []
     for lang in langs:
-        ws = Counter(dict(counts.get(lang, Counter()).most_common(word_types)))
+        ws = Counter(counts.get(lang, {}))
         common = tk.COMMON.get(lang, tk.COMMON_ZH if lang == "zh" else ())
         mass = max(1.0, COMMON_MASS * sum(ws.values()) / max(1, len(common)))
         for w in common:
             ws[w] += mass
+        chunks = [(_lattice(w), n) for w, n in ws.items()]
         p: dict[bytes, float] = {}
         for r in range(rounds + 1):
             c: Counter[bytes] = Counter()
-            for w, n in ws.items():
-                for chunk in _chunks(w):
-                    if r == 0:
-                        i = 0
-                        while i < len(chunk):
-                            j = min(len(chunk), i + 24)
-                            while chunk[i:j] not in voc:
-                                j -= 1
-                            c[chunk[i:j]] += n
-                            for b in chunk[i:j]:
-                                c[bytes([b])] += 0.05 * n
-                            i = j
-                    else:
-                        for piece, x in _expected(chunk, p, voc):
-                            c[piece] += n * x
+            for chunk, n in chunks:
+                if r == 0:
+                    i = 0
+                    while i < len(chunk):
+                        j = min(len(chunk), i + 24)
+                        while chunk[i:j] not in voc:
+                            j -= 1
+                        c[chunk[i:j]] += n
+                        for b in chunk[i:j]:
+                            c[bytes([b])] += 0.05 * n
+                        i = j
+                else:
+                    for piece, x in _expected(chunk, p, voc):
+                        c[piece] += n * x
             total = sum(c.values()) or 1.0
             p = {k: 0.999 * v / total for k, v in c.items() if v / total > FLOOR}
         probs.append(p)
@@ -165,7 +171,6 @@ def label_code(label: Column) -> Column:
 
 ASCII_TOKEN_RE = re.compile(r"[a-z]+(?:'[a-z]+)*|[.!?]+(?=[\s\"')*\]]|$)|\n")
 TOKEN_RE = re.compile(tk.WORD_RE.pattern + rf"|[.!?…]+(?=[\s\"'”’»)*\]]|$|[{tk.CJK}])|[。！？]+|\n")
-_COMMON = {x: frozenset(ws) for x, ws in tk.COMMON.items()}
 END_RE = re.compile(r"[.!?…。！？]+|\n")
 
 
@@ -179,6 +184,7 @@ class Scorer:
         self.voc = vocabulary(model.path)
         self.table, self.prior = model.table, model.prior
         self.longest = max(map(len, model.rows), default=1)
+        self.scale = [SCALE**k for k in range(self.longest + 1)]
         self._reset()
 
     def _reset(self) -> None:
@@ -186,25 +192,25 @@ class Scorer:
         self.ids: dict[str, int] = {}
         self.scores = np.zeros((4096, len(self.langs)))
         self.about = np.zeros((4096, 4), dtype=np.int32)
-        self.common = np.zeros((4096, len(self.langs)), dtype=np.int32)
 
     def word(self, w: str) -> np.ndarray:
-        """Log score of a word in each language, summed over all segmentations."""
-        out = np.zeros(len(self.langs))
-        get, table, scale = self.rows.get, self.table, SCALE
-        for chunk in _chunks(w):
-            n = len(chunk)
-            a = np.zeros((n + 1, len(self.langs)))
-            a[0] = 1.0
-            for j in range(1, n + 1):
-                for i in range(max(0, j - self.longest), j):
-                    r = get(chunk[i:j])
-                    if r is not None:
-                        a[j] += a[i] * (table[r] * scale ** (j - i))
-                    elif j - i == 1:
-                        a[j] += a[i] * (FLOOR * scale)
-            out += np.log(np.maximum(a[n], 1e-250)) - n * math.log(scale)
-        return out
+        """Log score of a word in each language, summed over all segmentations of the whole word."""
+        get, table, chunk = self.rows.get, self.table, _lattice(w)
+        n = len(chunk)
+        a = np.zeros((n + 1, len(self.langs)))
+        a[0] = 1.0
+        out = np.zeros(len(self.langs)) - n * math.log(SCALE)
+        for j in range(1, n + 1):
+            for i in range(max(0, j - self.longest), j):
+                r = get(chunk[i:j])
+                if r is not None:
+                    a[j] += a[i] * (table[r] * self.scale[j - i])
+                elif j - i == 1:
+                    a[j] += a[i] * (FLOOR * SCALE)
+            if not j % 16:  # keeps long words within the range of floats
+                out += np.log(a[j])
+                a[max(0, j + 1 - self.longest) : j + 1] /= a[j].copy()
+        return out + np.log(a[n])
 
     def id(self, w: str) -> int:
         i = self.ids.get(w)
@@ -213,18 +219,15 @@ class Scorer:
             if i == len(self.scores):
                 self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
                 self.about = np.concatenate((self.about, np.zeros_like(self.about)))
-                self.common = np.concatenate((self.common, np.zeros_like(self.common)))
             if END_RE.fullmatch(w):
                 i = 0
             elif "㐀" <= w[0] <= "鿿":
                 self.scores[i] = self.word(w)
                 self.about[i] = 0, len(w), sum(c in tk.COMMON_ZH for c in w), len(w)
-                self.common[i] = [len(w) * (x == "zh") for x in self.langs]
             else:
                 if len(w) > 1:
                     self.scores[i] = self.word(w)
                 self.about[i] = len(w) > 1, 0, w in tk.COMMON_BITS, len(w)
-                self.common[i] = [w in _COMMON.get(x, ()) for x in self.langs]
             self.ids[w] = i
             if i == 0:
                 self.ids[f"\n{len(self.ids)}"] = 0
@@ -290,7 +293,7 @@ def _conf(v: np.ndarray) -> float:
     return float(1.0 / np.exp(v - v.max()).sum())
 
 
-def detect_many(texts: Sequence[str | None], scorer: Scorer, least_words: int = 4, least_han: int = 6, margin: float = 4.0, spans: bool = True) -> list[Detected]:
+def detect_many(texts: Sequence[str | None], scorer: Scorer, least_words: int = 4, least_han: int = 6, margin: float = 7.0, spans: bool = True) -> list[Detected]:
     """Language, confidence and, of mixed texts, segments of each text.
 
     No language for null and junk texts and where fewer than ``least_words`` words or ``least_han`` Chinese characters
@@ -314,8 +317,6 @@ def detect_many(texts: Sequence[str | None], scorer: Scorer, least_words: int =
     starts = np.concatenate(([0], ends[:-1] + 1))
     v = np.add.reduceat(scorer.scores[a], starts, axis=0)
     about = np.add.reduceat(scorer.about[a], starts, axis=0)
-    common = np.add.reduceat(scorer.common[a], starts, axis=0)
-    v = v + COMMON_BONUS * common
     bounds = np.cumsum(sizes)
     first = np.searchsorted(ends, np.concatenate(([0], bounds[:-1])))
     last = np.searchsorted(ends, bounds - 1)
@@ -333,8 +334,7 @@ def detect_many(texts: Sequence[str | None], scorer: Scorer, least_words: int =
     main = np.where(cells.any(axis=1), cells.argmax(axis=1), total.argmax(axis=1))
     # short texts: the prior decides between close scores
     main = np.where(whole[:, 0] + whole[:, 1] < 12, total.argmax(axis=1), main)
-    row = np.arange(len(v))
-    alien = sure & (own != main[text_of]) & (common[row, own] > common[row, main[text_of]])
+    alien = sure & (own != main[text_of])
     mixed = np.zeros(len(texts), dtype=bool)
     mixed[text_of[alien]] = True
     out = []
