@@ -38,15 +38,15 @@ SHARED_GRAM, SHARED_GRAM_ZH = 8, 12
 LEAST_SEEDS = 4
 DRIFT = 12
 BITS_PER_WINDOW, PROBES, LEAST_BITS, MOST_BITS = 64, 3, 1 << 16, 1 << 29
-BREAK_RE = re.compile(r"(?<=[^\W\d_])[-\u2010\u00ad][^\S\n]*\n\s*(?=[^\W\d_])")
-NUMBER_BREAK_RE = re.compile(r"(?<=\d)[^\S\n]*\n\s*(?=\d)")
+BREAK_RE = re.compile(r"[-\u2010\u00ad](?<=[^\W\d_].)[^\S\n]*\n\s*(?=[^\W\d_])")
+NUMBER_BREAK_RE = re.compile(rf"\n(?<=\d\n)(?=\d+[{tk.CJK}])")
 OTHER, LETTER, DIGIT, HAN, UNSEEN = 0, 1, 2, 3, 4
 U = np.uint64
 NUMBER, NAME, UNIT = U(1), U(2), U(3)
 BASE = U(0x9E3779B97F4A7C15)
 BASE_INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 PROBE_FACTORS = (U(1), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F))
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 
 
 @cache
@@ -86,17 +86,33 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ h >> U(31)
 
 
+@cache
+def _unsettled() -> np.ndarray:
+    """Which characters Unicode normalisation changes or joins with the one before; all others stay as they are."""
+    out = np.zeros(0x110000, bool)
+    for x in (*range(0x80, 0xD800), *range(0xE000, 0x2FA20)):
+        c = chr(x)
+        out[x] = unicodedata.category(c)[0] == "M" or 0x1100 <= x < 0x1200 or unicodedata.normalize("NFKC", c) != c
+    return out
+
+
 def normal(text: str) -> str:
-    """The text in one Unicode form, without word breaks at line ends (Chinese texts: breaks inside numbers)."""
-    if "-" in text or not text.isascii():
-        text = BREAK_RE.sub("", text)
+    """The text in one Unicode form, without word breaks at line ends and, before Chinese, breaks inside numbers."""
+    text = BREAK_RE.sub("", text)
     if text.isascii():
         return text
-    if not unicodedata.is_normalized("NFKC", text):
-        text = unicodedata.normalize("NFKC", text)
+    odd = np.flatnonzero(_unsettled()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)])
+    if len(odd):
+        cuts = np.flatnonzero(np.diff(odd) > 1)
+        parts, at = [], 0
+        for a, b in zip(odd[np.concatenate(([0], cuts + 1))].tolist(), odd[np.concatenate((cuts, [-1]))].tolist()):
+            a = max(at, a - 1)
+            parts += [text[at:a], unicodedata.normalize("NFKC", text[a : b + 1])]
+            at = b + 1
+        text = "".join(parts) + text[at:]
     if "ß" in text or "ẞ" in text:
         text = text.replace("ß", "ss").replace("ẞ", "SS")
-    return NUMBER_BREAK_RE.sub("", text) if "\n" in text and tk.CJK_RE.search(text) else text
+    return NUMBER_BREAK_RE.sub("", text)
 
 
 class Words(NamedTuple):
@@ -117,14 +133,13 @@ class Words(NamedTuple):
 def words_of(texts: Sequence[str | None]) -> Words:
     """Vectorised over all characters of the texts. A name is a capitalised word inside a sentence, a unit the word behind a number."""
     kinds, fold, stops = _tables()
-    parts = [normal(t) if t else "" for t in texts]
-    a = np.frombuffer("\n".join(parts).encode("utf-32-le", "surrogatepass") or b"\n\0\0\0", dtype=np.uint32)
+    joined = normal("\0".join(t.replace("\0", " ") if t and "\0" in t else t or "" for t in texts) + "\0")
+    a = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     k = kinds[a]
-    starts = np.cumsum([0] + [len(p) + 1 for p in parts[:-1]])
     seen = k != UNSEEN
     if not seen.all():
-        starts = np.concatenate(([0], np.cumsum(seen)))[np.minimum(starts, len(a))]
         a, k = a[seen], k[seen]
+    ends = np.flatnonzero(a == 0)
     edges = np.concatenate(([0], np.flatnonzero((k[1:] != k[:-1]) | (k[1:] == HAN)) + 1, [len(a)]))
     at, end = edges[:-1], edges[1:]
     real = k[at] != OTHER
@@ -134,7 +149,7 @@ def words_of(texts: Sequence[str | None]) -> Words:
     total = np.concatenate((np.zeros(1, U), np.cumsum((low.astype(U) + U(1)) * up[: len(a)], dtype=U)))
     exact = _mix((total[end] - total[at]) * down[at] + (end - at).astype(U)) | U(8)
     kind = k[at]
-    of = np.searchsorted(starts, at, side="right") - 1
+    of = np.searchsorted(ends, at)
     numbers = np.where(kind == DIGIT, NUMBER, exact)
     typed = numbers
     if len(at):
@@ -163,10 +178,11 @@ def _plain(ids: np.ndarray, w: int) -> np.ndarray:
     return c[w:] - c[:-w] if len(ids) >= w else np.zeros(0, int)
 
 
-def windows(x: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(position, words, wide, hash) of the template windows of the texts; none crosses from a text to the next.
+def windows(x: Words) -> tuple[np.ndarray, ...]:
+    """(position, words, wide, hash, slots) of the template windows of the texts; none crosses from a text to the next.
 
     A narrow window with few words beside its numbers keeps their values; wide ones are made where they hold a placeholder.
+    ``slots`` is a hash of the window with the values of its slots.
     """
     out = []
     for wide, sizes in ((False, (NARROW, NARROW_ZH)), (True, (WIDE, WIDE_ZH))):
@@ -180,12 +196,14 @@ def windows(x: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
                 ok = (plain >= WIDE_PLAIN) & (plain < w)
             else:
                 ok = np.ones(n, bool)
-                h = np.where(plain >= NARROW_PLAIN, h, _roll(x.exact, w))
+                values = _roll(x.exact, w)
+                h = np.where(plain >= NARROW_PLAIN, h, values)
             ok &= (x.of[:n] == x.of[w - 1 :]) & ((x.kind[:n] == HAN) == han)
             at = np.flatnonzero(ok)
-            out.append((at, np.full(len(at), w), np.full(len(at), wide), _mix(h[at] + U(2 * w + wide))))
+            slots = np.zeros(len(at), np.int32) if wide else (values[at] >> U(32)).astype(np.uint32).view(np.int32)
+            out.append((at, np.full(len(at), w), np.full(len(at), wide), _mix(h[at] + U(2 * w + wide)), slots))
     if not out:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, bool), np.zeros(0, U)
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, bool), np.zeros(0, U), np.zeros(0, np.int32)
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
@@ -193,6 +211,11 @@ def _is_zh(x: Words) -> bool:
     return int((x.kind == HAN).sum()) * 2 > len(x.kind)
 
 
+def whole(item: np.ndarray, doc: np.ndarray, at: int) -> bool:
+    """Whether the document holds the item word for word from ``at`` on."""
+    return at >= 0 and np.array_equal(item, doc[at : at + len(item)])
+
+
 def passage(item: Sequence[int], weight: np.ndarray, doc: Sequence[int]) -> tuple[int, list[tuple[int, int]]]:
     """Weight of the longest passage of ``item`` that stands in ``doc`` with at most one word in eight altered, added or
     dropped; and its pairs of equal positions."""
@@ -233,6 +256,21 @@ def _lines(seeds: Sequence[tuple[int, int]]) -> Iterator[tuple[int, int]]:
             group.append((k, pos))
 
 
+def may_pass(item: np.ndarray, weight: np.ndarray, doc: np.ndarray, lo: int, hi: int, least: int) -> bool:
+    """Necessary for a passage on the line: enough words of the item stand near it in the document, with few others between."""
+    n = len(item)
+    at = np.arange(n)[:, None] + np.arange(lo - DRIFT, hi + DRIFT + 1)[None, :]
+    inside = (at >= 0) & (at < len(doc))
+    hit = ((doc[np.where(inside, at, 0)] == item[:, None]) & inside).any(axis=1)
+    if weight.max(initial=0) <= 1 and hit.sum() * EDIT_SHARE < least * (EDIT_SHARE - 1) - 3:
+        return False
+    missed, got = np.concatenate(([0], np.cumsum(~hit))), np.concatenate(([0], np.cumsum(weight)))
+    # The longest end of a passage from i on is where 8 * missed - length is at most that at i, plus 3.
+    over = EDIT_SHARE * missed - np.arange(n + 1)
+    ok = (over[None, :] - over[:, None] <= 3) & (got[None, :] - got[:, None] >= least)
+    return bool(ok.any())
+
+
 def consistent(item: Words, doc: Words, pairs: Sequence[tuple[int, int]]) -> bool:
     """Whether every value in a slot of the item stands for one value in the document."""
     to: dict[int, int] = {}
@@ -251,7 +289,13 @@ def classify(item: Words, shared: np.ndarray, doc: Words, narrow: Sequence[tuple
     n = len(item.exact)
     for name, seeds in (("verbatim", narrow), ("reparameterised", wide)):
         best = 0
+        ids = (item.exact, doc.exact) if name == "verbatim" else (item.typed, doc.typed)
         for lo, hi in _lines(seeds):
+            if name == "verbatim" and whole(*ids, lo):
+                best = max(best, int(weight.sum()))
+                continue
+            if not may_pass(ids[0], weight, ids[1], lo, hi, least):
+                continue
             d = doc.part(max(0, lo - DRIFT), max(0, hi + n + DRIFT))
             if name == "verbatim":
                 best = max(best, passage(item.exact.tolist(), weight, d.exact.tolist())[0])
@@ -278,7 +322,7 @@ def _chunks(texts: Sequence[str | None], most: int = CHUNK) -> Iterator[tuple[in
 
 
 def item_tables(items: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(u, item key, text, shared positions) and (hash, u, pos, wide) of the items. ``u`` tells the items apart.
+    """(u, item key, text, shared positions) and (hash, u, pos, wide, slots) of the items. ``u`` tells the items apart.
 
     Wording shared by three or more items counts neither for windows that lie in it nor towards a passage.
     """
@@ -301,12 +345,12 @@ def item_tables(items: DataFrame, key: str, text: str) -> tuple[DataFrame, DataF
         for pdf in batches:
             for u, t, shared in zip(pdf["u"], pdf["t"], pdf["shared"]):
                 x = words_of([t])
-                at, w, wide, h = windows(x)
+                at, w, wide, h, slots = windows(x)
                 inside = np.concatenate(([0], np.cumsum(shared_mask(x, shared))))
                 own = inside[at + w] - inside[at] < w
-                yield pd.DataFrame({"hash": h[own].astype(np.int64), "u": u, "pos": at[own].astype(np.int32), "wide": wide[own]})
+                yield pd.DataFrame({"hash": h[own].astype(np.int64), "u": u, "pos": at[own].astype(np.int32), "wide": wide[own], "slots": slots[own]})
 
-    return it, cut(it.mapInPandas(run, "hash bigint, u bigint, pos int, wide boolean"), "windows")
+    return it, cut(it.mapInPandas(run, "hash bigint, u bigint, pos int, wide boolean, slots int"), "windows")
 
 
 def shared_mask(x: Words, starts: Sequence[int] | None) -> np.ndarray:
@@ -372,11 +416,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str, doc_text: str, i
             keys, texts = pdf["k"].tolist(), pdf["t"].tolist()
             for a, b in _chunks(texts):
                 x = words_of(texts[a:b])
-                at, _, _, h = windows(x)
-                at, h = (v[ok] for ok in (may_hold(h, held),) for v in (at, h))
+                at, _, _, h, slots = windows(x)
+                at, h, slots = (v[ok] for ok in (may_hold(h, held),) for v in (at, h, slots))
                 of = x.of[at]
                 order = np.argsort(of, kind="stable")
-                at, h, of = at[order], h[order].astype(np.int64), of[order]
+                at, h, slots, of = at[order], h[order].astype(np.int64), slots[order], of[order]
                 first = np.searchsorted(x.of, np.arange(b - a))
                 cuts = np.searchsorted(of, np.arange(b - a + 1))
                 rows = [i for i in range(b - a) if cuts[i + 1] - cuts[i] >= LEAST_SEEDS]
@@ -388,16 +432,22 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str, doc_text: str, i
                         "t": [texts[a + i] for i in rows],
                         "pos": [at[cuts[i] : cuts[i + 1]] - first[i] for i in rows],
                         "hash": [h[cuts[i] : cuts[i + 1]] for i in rows],
+                        "slots": [slots[cuts[i] : cuts[i + 1]] for i in rows],
                     }
                 )
 
-    seen = docs.select(F.col(doc_key).alias("k"), F.col(doc_text).alias("t")).mapInPandas(thin, f"k {doc_type}, t string, pos array<int>, hash array<bigint>")
+    seen = docs.select(F.col(doc_key).alias("k"), F.col(doc_text).alias("t")).mapInPandas(thin, f"k {doc_type}, t string, pos array<int>, hash array<bigint>, slots array<int>")
     seen = cut(seen.withColumn("r", F.monotonically_increasing_id()), "thinned")
-    hits = seen.select("r", F.explode(F.arrays_zip("pos", "hash")).alias("h")).select("r", F.col("h.pos").alias("d"), F.col("h.hash").alias("hash"), F.pmod("r", F.lit(salts)).alias("salt"))
+    hits = seen.select("r", F.explode(F.arrays_zip("pos", "hash", "slots")).alias("h")).select("r", F.col("h.pos").alias("d"), F.col("h.hash").alias("hash"), F.col("h.slots").alias("values"), F.pmod("r", F.lit(salts)).alias("salt"))
     side = wins.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    seeds = hits.join(side, ["hash", "salt"]).groupBy("r", "u").agg(F.collect_list(F.struct("d", F.col("pos").alias("p"), "wide")).alias("seeds"), F.count_if("wide").alias("n_wide"), F.count_if(~F.col("wide")).alias("n_narrow"))
+    # Slot consistency: of a narrow template the slots must hold the item's values; wide ones are held against each other below.
+    agree = hits.join(side, ["hash", "salt"]).where(F.col("wide") | (F.col("values") == F.col("slots")))
+    seeds = agree.groupBy("r", "u").agg(F.collect_list(F.struct("d", F.col("pos").alias("p"), "wide")).alias("seeds"), F.count_if("wide").alias("n_wide"), F.count_if(~F.col("wide")).alias("n_narrow"))
     seeds = seeds.where((F.col("n_wide") >= LEAST_SEEDS) | (F.col("n_narrow") >= LEAST_SEEDS)).select("r", "u", "seeds")
     pairs = seeds.join(seen.select("r", "k", "t"), "r").join(its.withColumnRenamed("t", "item"), "u")
+    # The check costs more than its bytes tell.
+    parts = max(2 * docs.sparkSession.sparkContext.defaultParallelism, seen.count() // 20_000)
+    pairs = pairs.repartition(parts, "r", "u")
 
     def check(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -420,6 +470,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str, doc_text: str, i
                 got = classify(*parsed[u], texts[r], by[False], by[True])
                 if got:
                     out.append((k, i, *got))
+            if not out:
+                continue
             yield pd.DataFrame(out, columns=["d", "i", "leak", "passage_size"])
 
     return pairs.mapInPandas(check, f"d {doc_type}, i {item_type}, leak string, passage_size int").withColumnsRenamed({"d": doc_key, "i": item_key}).distinct()
