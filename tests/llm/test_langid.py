@@ -7,7 +7,7 @@ from rollweave.llm import langid, pairs
 from rollweave.llm import textkit as tk
 
 TEXTS = {
-    "en": "The sides of a rectangle are long and the perimeter grows when both sides grow. There is a shorter way but this one is safe for all of the cases.",
+    "en": "The sides of a rectangle are long and the perimeter grows when both sides grow. There is a shorter way but this one is safe for all of the cases. I can help with that request, so you can ask for this.",
     "zh": "因此所求的值是这个数，两个正整数的和为一百，积为二十，求其中较大的一个。我们先设未知数，再把条件写成等式。",
     "de": "Die Seiten eines Rechtecks sind lang und der Umfang wächst, wenn beide Seiten wachsen. Für die übrigen Fälle zählen wir jeweils dazu.",
     "fr": "Les côtés d’un rectangle mesurent beaucoup et le périmètre augmente quand chaque côté augmente. Il reste une équation plus simple pour tous.",
@@ -40,6 +40,24 @@ def test_forward_sum_equals_brute_force(model):
             assert got[k] == pytest.approx(np.log(brute((" " + w).encode(), k)), rel=1e-6)
 
 
+@pytest.mark.parametrize(("w", "k"), [("равны" * 200, 5), ("因此所求的值是" * 150, 1)])
+def test_long_words_are_scored_whole(model, w, k):
+    v = langid.Scorer(model).word(w)
+    assert np.isfinite(v).all() and v.argmax() == k
+    # No cut: the score of the whole is no sum over fixed chunks, and grows in proportion.
+    assert v[k] == pytest.approx(2 * langid.Scorer(model).word(w[: len(w) // 2])[k], rel=0.02)
+
+
+def test_expectations_of_long_words(model):
+    p = {b"a": 0.5, b"aa": 0.25, b"b": 0.25}
+    voc = frozenset(p)
+    short = dict.fromkeys(p, 0.0)
+    for piece, x in langid._expected(b"aab", p, voc):
+        short[piece] += x
+    assert short[b"a"] == pytest.approx(2 * 0.25 / 0.5) and short[b"aa"] == pytest.approx(0.5) and short[b"b"] == pytest.approx(1.0)
+    assert sum(x * len(piece) for piece, x in langid._expected(b"b" * 3000, {b"b": 1e-3}, frozenset([b"b"]))) == pytest.approx(3000)
+
+
 def test_languages_mixtures_and_nothing(model):
     s = langid.Scorer(model)
     for lang, t in TEXTS.items():
@@ -65,9 +83,9 @@ def test_mislabelled(spark, model):
 def test_pair_defects(spark, model):
     prompt = "User: Please solve this exercise and justify every step you take.\nThe sides of a rectangle are 5 and 6 units long. What is its perimeter?\n\nAssistant:"
     rows = [(1, prompt, TEXTS["en"]), (2, prompt, TEXTS["de"]), (3, prompt, None), (4, None, TEXTS["de"]), (5, prompt, "I can't help with this request."), (6, prompt, "The sides of a rectangle are 5 and 6 units long. What is its perimeter?"), (7, prompt, TEXTS["en"] + " The perimeter (which is"), (3, prompt, None)]
-    df = spark.createDataFrame(rows, "line_no bigint, p string, r string").selectExpr("*", "'s' AS source", "cast(null AS string) AS truth", "1 AS lang")
-    f = pairs.pair_features(df, "line_no", "p", "r", ["source", "truth"], model)
-    got = sorted((r[0], r[1]) for r in pairs.defects(f, "line_no", "source", "truth").collect())
+    df = spark.createDataFrame(rows, "line_no bigint, p string, r string").selectExpr("*", "'s' AS source", "false AS limited", "1 AS lang")
+    f = pairs.pair_features(df, "line_no", "p", "r", ["source", "limited"], model)
+    got = sorted((r[0], r[1]) for r in pairs.defects(f, "line_no", "source", "limited").collect())
     assert got == [(2, "other_language"), (3, "empty"), (3, "empty"), (5, "refusal"), (6, "copy"), (7, "truncated")]
 
 

@@ -78,10 +78,49 @@ def test_tails(text, state):
 
 def test_corpus_decides_on_open_ends(spark):
     done = [(i, "s", f"Some text comes first. Therefore the value we are looking for is {i}.") for i in range(50)]
-    rows = [*done, (100, "s", "Some text comes first. Therefore the value we are looking for is 7"), (101, "s", "Some text comes first. Therefore the val"), (102, None, "Some text comes first. Therefore the value we are looking for is 9"), (103, None, None)]
-    df = spark.createDataFrame(rows, "id bigint, src string, text string").selectExpr("*", "cast(null as string) AS prompt", "cast(null as string) AS truth")
-    f = pairs.pair_features(df, "id", "prompt", "text", ["src", "truth"])
-    assert sorted(r["id"] for r in truncation.mark_cut(f, "src", "truth").where("is_cut").collect()) == [101]
+    rows = [*done, (100, "s", "Some text comes first. Therefore the value we are looking for is 7"), (101, "s", "Some text comes first. Therefore the val"), (102, None, "Some text comes first. Therefore the value we are looking for is 9"), (103, None, None), (104, "t", "Some text comes first. Therefore the value we are looking for is 9"), (105, "t", "Some text comes first. Therefore the value we are looking for is 9")]
+    df = spark.createDataFrame(rows, "id bigint, src string, text string").selectExpr("*", "cast(null as string) AS prompt", "id = 104 AS limited")
+    f = pairs.pair_features(df, "id", "prompt", "text", ["src", "limited"])
+    assert sorted(r["id"] for r in truncation.mark_cut(f, "src", "limited").where("is_cut").collect()) == [101, 104]
+
+
+def test_limit_of_the_generation(spark):
+    rows = [(1, 256, 256), (2, 255, 256), (3, None, 256), (4, 300, None), (5, -1, 256)]
+    df = spark.createDataFrame(rows, "id int, n int, most int").select("id", truncation.at_limit("n", "most").alias("x"))
+    assert [r["id"] for r in df.where("x").collect()] == [1] and df.where("x is null").count() == 0
+
+
+def test_last_words_and_marks_at_every_length():
+    assert truncation.tail_key("The sum is 5" + "!" * 500) == truncation.tail_key("The sum is 5!") == "sum is #"
+    assert truncation.tail_key("it ends with " + "x" * 300) == "ends with " + "x" * 300
+    for mark in ("...", "." * 200, "…" * 90, "[truncated by the store after 4096 bytes of text]", "<|end_of_text|>", "(cut)"):
+        assert truncation.unmarked("It stops he" + " " + mark) == "It stops he"
+    assert truncation.unmarked("It stops here.") is None and truncation.unmarked("f(x)") is None
+    assert truncation.tail(PROSE + " " + "a (" * 1 + "b " * 3000).state == "cut"
+
+
+@pytest.mark.parametrize("n", [1, 5, 40, 400])
+def test_refusals_at_every_length(n):
+    polite = "Please be so kind and ask a teacher of yours about it instead. " * n
+    assert pairs.is_refusal(f"I'm sorry, but I can't help with this request. {polite}")
+    assert pairs.is_refusal(f"{PROSE}\n\n" * n + "I'm sorry, but I can't help with this request.")
+    assert not pairs.is_refusal(f"I'm sorry, but I can't help with this request. {polite} So the result is 12.")
+
+
+@pytest.mark.parametrize("n", [1, 3, 30])
+def test_copies_at_every_length(n):
+    s = "Two positive integers have sum 130 and product 4104. What is the larger of the two? "
+    assert pairs.is_copy(s * n, PROMPT) and not pairs.is_copy(s * n + PROSE * n, PROMPT)
+
+
+def test_the_sketches_decide_where_a_tail_begins(spark):
+    rows = [("en", 0.0)] * 60 + [("en", 0.45)] * 8 + [("en", 0.95)] * 8 + [("en", 0.55)] + [("de", 0.0)] * 60 + [("de", 0.55)] * 8 + [("de", 0.95)] * 8
+    cols = {c: 0.0 for c in textstats.STATS}
+    df = spark.createDataFrame([(i, g, v) for i, (g, v) in enumerate(rows)], "id bigint, lang_guess string, v double")
+    df = df.selectExpr("id", "lang_guess", *[f"{'v' if c == 'list_share' else '100D' if c == 'n_chars' else x} AS {c}" for c, x in cols.items()])
+    got = {(r["lang_guess"], r["list_share"]): r["kind"] for r in textstats.kinds(df).collect()}
+    # The same share is the tail of one language and the body of another.
+    assert got["en", 0.55] == got["en", 0.45] == "prose" and got["de", 0.55] == got["en", 0.95] == got["de", 0.95] == "list"
 
 
 @pytest.mark.parametrize("text", [None, "", " \n\t", "​", "<think>\n\n</think>\n\n", "```\n```", "Answer:", "答案：", "null", "N/A", "[no output]", "&nbsp;", "\\boxed{}", "...", "—"])
@@ -180,7 +219,7 @@ def test_small_sources_have_their_own_baseline(spark):
     big = [(i, "big", f"Some text comes first. Therefore the value we are looking for is {i}.") for i in range(6000)]
     small = [(9000 + i, "small", f"Some text comes first. And thus ends run {i}.") for i in range(3)]
     asked = [(9100, "small", "Some text comes first. And thus ends run 7"), (9101, "small", "Some text comes first. And thus en"), (9102, None, "Some text comes first. And thus ends run 7"), (9103, "big", "Some text comes first. And thus ends run 7")]
-    df = spark.createDataFrame([*big, *small, *asked, asked[0]], "id bigint, src string, text string").selectExpr("*", "cast(null as string) AS prompt", "cast(null as string) AS truth")
-    f = truncation.mark_cut(pairs.pair_features(df, "id", "prompt", "text", ["src", "truth"]), "src", "truth")
+    df = spark.createDataFrame([*big, *small, *asked, asked[0]], "id bigint, src string, text string").selectExpr("*", "cast(null as string) AS prompt", "id = 104 AS limited")
+    f = truncation.mark_cut(pairs.pair_features(df, "id", "prompt", "text", ["src", "limited"]), "src", "limited")
     assert f.count() == df.count()
     assert sorted(r["id"] for r in f.where("is_cut").collect()) == [9101, 9102, 9103]
