@@ -2,13 +2,13 @@
 
 ``profile`` computes the statistics of one text. ``describe`` turns them, per language, into
 percentiles and robust z-scores by means of merged quantile sketches; a text whose list, table or
-junk share lies in the upper tail and makes up the greater part of the text is of that kind.
+junk share lies in the upper tail of its language, as the sketches tell it, is of that kind.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from itertools import chain
 
 import numpy as np
@@ -197,7 +197,7 @@ def shape(text: str) -> tuple[float, float, float, float]:
             junk += len(x)
         elif BULLET_RE.match(x):
             in_list += len(x)
-        elif len(x) <= 60 and KV_RE.match(x) or NUM_ITEM_RE.match(x) and len(x) <= 40:
+        elif KV_RE.match(x) or NUM_ITEM_RE.match(x):
             shorts.append(x)
         else:
             rest.append(x)
@@ -289,7 +289,7 @@ def text_statistics(df: DataFrame, key: str, text: str, flags: Mapping[str, tupl
     """A row per row of ``df``: key, language by common words, statistics. Python in Arrow batches, no shuffle.
 
     ``flags`` adds boolean columns: name -> (other column, test of the text and that column), for telling apart the texts
-    whose list, table or junk share reaches a half; false for all others.
+    whose list, table or junk share may lie in a tail (see ``TAIL_RANGE``); false for all others.
     """
     flags = dict(flags or {})
 
@@ -298,7 +298,7 @@ def text_statistics(df: DataFrame, key: str, text: str, flags: Mapping[str, tupl
             rows = [profile(x) for x in pdf["t"]]
             out = pd.DataFrame(rows, columns=["lang_guess", *STATS])
             for i, (name, (_, test)) in enumerate(flags.items()):
-                out[name] = [max(r[-1], r[-3], r[-4]) >= 0.5 and test(t, o) for r, t, o in zip(rows, pdf["t"], pdf[f"o{i}"])]
+                out[name] = [max(r[-1], r[-3], r[-4]) >= TAIL_RANGE[0] and test(t, o) for r, t, o in zip(rows, pdf["t"], pdf[f"o{i}"])]
             out.insert(0, "k", pdf["k"].to_numpy())
             yield out
 
@@ -309,18 +309,29 @@ def text_statistics(df: DataFrame, key: str, text: str, flags: Mapping[str, tupl
 
 
 GRID = tuple(i / 20 for i in range(21))
+#: Percentiles by which the beginning of a tail is sought, where it may lie, and how wide the valley before it must be.
+FINE_GRID = tuple(i / 400 for i in range(401))
+TAIL_RANGE, VALLEY = (0.25, 0.75), 0.1
 
 
-def language_baselines(stats: DataFrame, metrics: Iterable[str] = STATS) -> DataFrame:
-    """Quantile grid of each statistic per language and, under '*', over all: merged sketches.
-
-    At most (languages + 1) * statistics rows, so it may be broadcast at any input size.
-    """
-    metrics = list(metrics)
+def baseline_sketches(stats: DataFrame, metrics: Iterable[str] = STATS) -> DataFrame:
+    """Merged sketches of each statistic per language and, under '*', over all: at most (languages + 1) * statistics rows."""
     groups = {"lang": F.col("lang_guess"), "all": F.lit("*")}
-    parts = sketch.partial_sketches(stats, groups, {m: F.col(m) for m in metrics}, k=256)
-    q = sketch.read_quantiles(sketch.merge_sketches(parts), GRID)
-    return q.groupBy("grp", "metric").agg(F.sort_array(F.collect_list(F.struct("p", "estimate")))["estimate"].alias("grid"))
+    return cut(sketch.merge_sketches(sketch.partial_sketches(stats, groups, {m: F.col(m) for m in metrics}, k=256)), "baseline")
+
+
+def grids(sketches: DataFrame, ps: Sequence[float] = GRID) -> DataFrame:
+    """(grp, g): of each language, and of all under '*', the quantile grid of each statistic. As small as the sketches, so it may be broadcast."""
+    q = sketch.read_quantiles(sketches, ps).groupBy("grp", "metric").agg(F.sort_array(F.collect_list(F.struct("p", "estimate")))["estimate"].alias("grid"))
+    return cut(q.groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("metric", "grid"))).alias("g")), "grids")
+
+
+def tail_start(grid: Column) -> Column:
+    """Where the upper tail of a share begins: the middle of the widest valley of its distribution that lies in ``TAIL_RANGE``;
+    a half, the greater part of a text, where no valley of width ``VALLEY`` lies there."""
+    steps = F.transform(F.sequence(F.lit(1), F.size(grid) - 1), lambda i: F.struct((F.get(grid, i) - F.get(grid, i - 1)).alias("width"), ((F.get(grid, i) + F.get(grid, i - 1)) / 2).alias("middle")))
+    valleys = F.filter(steps, lambda x: (x["width"] >= VALLEY) & x["middle"].between(*TAIL_RANGE))
+    return F.coalesce(F.array_max(valleys)["middle"], F.lit(0.5))
 
 
 def _z(x: Column, grid: Column, floor: float) -> Column:
@@ -332,11 +343,11 @@ def _steps_upto(grid: Column, x: Column) -> Column:
     return F.greatest(F.size(F.filter(grid, lambda q: q <= x)) - 1, F.lit(0))
 
 
-def describe(stats: DataFrame, metrics: Iterable[str] = STATS, floor: float = 0.05) -> DataFrame:
+def describe(stats: DataFrame, metrics: Iterable[str] = STATS, floor: float = 0.05, sketches: DataFrame | None = None) -> DataFrame:
     """Adds for each metric m: m_z, the robust z-score (median and quartiles of the language; the larger one of
     that and of all texts together), and m_pct, the percentile within the language in steps of 5."""
     metrics = list(metrics)
-    base = cut(language_baselines(stats, metrics), "baseline").groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("metric", "grid"))).alias("g"))
+    base = grids(baseline_sketches(stats, metrics) if sketches is None else sketches)
     own = base.where("grp <> '*'").select(F.col("grp").alias("lang_guess"), F.col("g").alias("own"))
     every = base.where("grp = '*'").select(F.col("g").alias("every"))
     j = stats.join(F.broadcast(own), "lang_guess", "left").join(F.broadcast(every), F.lit(True), "left")
@@ -348,10 +359,22 @@ def describe(stats: DataFrame, metrics: Iterable[str] = STATS, floor: float = 0.
     return j.withColumns(new).drop("own", "every")
 
 
-def kinds(stats: DataFrame, least_z: float = 3.0, least_share: float = 0.5, least_chars: int = 30) -> DataFrame:
-    """Adds ``kind``: prose, list, table or junk. Beyond least_z robust deviations and least_share of the text; the largest share wins."""
-    d = describe(stats, ("list_share", "table_share", "junk_share"))
-    tail = {k: F.when((F.col(f"{k}_share_z") >= least_z) & (F.col(f"{k}_share") >= least_share) & (F.col("n_chars") >= least_chars), F.col(f"{k}_share")).otherwise(0.0) for k in ("list", "table", "junk")}
+KINDS = ("list", "table", "junk")
+
+
+def kinds(stats: DataFrame, least_z: float = 3.0, least_chars: int = 30) -> DataFrame:
+    """Adds ``kind``: prose, list, table or junk; the largest of the shares that lie in a tail of their language.
+
+    The sketches decide what a tail is: the share must lie ``least_z`` robust deviations above the median and beyond the
+    valley that parts the texts of the language with much of the kind from those with little (``tail_start``). Texts of
+    fewer than ``least_chars`` characters are prose.
+    """
+    shares = [f"{k}_share" for k in KINDS]
+    sketches = baseline_sketches(stats, shares)
+    d = describe(stats, shares, sketches=sketches)
+    tails = grids(sketches, FINE_GRID).where("grp <> '*'").select(F.col("grp").alias("lang_guess"), *(tail_start(F.col("g")[m]).alias(f"{m}_from") for m in shares))
+    d = d.join(F.broadcast(tails), "lang_guess", "left")
+    tail = {k: F.when((F.col(f"{k}_share_z") >= least_z) & (F.col(f"{k}_share") >= F.coalesce(F.col(f"{k}_share_from"), F.lit(0.5))) & (F.col("n_chars") >= least_chars), F.col(f"{k}_share")).otherwise(0.0) for k in KINDS}
     top = F.greatest(*tail.values())
     kind = F.when(top == 0, "prose").when(tail["table"] == top, "table").when(tail["list"] == top, "list").otherwise("junk")
     return d.withColumn("kind", kind)
