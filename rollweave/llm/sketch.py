@@ -141,10 +141,13 @@ def partial_sketches(df: DataFrame, groups: Mapping[str, Column], metrics: Mappi
         ctx = TaskContext.get()
         part = ctx.partitionId() if ctx else 0
         state: dict[tuple, list] = {}
+        emitted = 0
 
         def emit() -> pd.DataFrame:
+            nonlocal emitted
             rows = [(*key, part % salts, miss, s.to_bytes()) for key, (miss, s) in state.items()]
             state.clear()
+            emitted += 1  # a key that begins anew takes other coin flips
             return pd.DataFrame(rows, columns=_COLS)
 
         for pdf in batches:
@@ -160,7 +163,7 @@ def partial_sketches(df: DataFrame, groups: Mapping[str, Column], metrics: Mappi
                         ok = x[~np.isnan(x)]
                         key = (dim, name, m)
                         if key not in state:
-                            state[key] = [0, QuantileSketch(k, _seed(part, *key))]
+                            state[key] = [0, QuantileSketch(k, _seed(part, emitted, *key))]
                         state[key][0] += len(x) - len(ok)
                         state[key][1].update(ok)
                 if len(state) > most_groups * len(cols):
@@ -173,14 +176,18 @@ def partial_sketches(df: DataFrame, groups: Mapping[str, Column], metrics: Mappi
 
 
 def _merge(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Merges the sketches of equal keys that meet in a partition; holds one sketch per key."""
+    """Merges the sketches of equal keys that meet in a partition; holds one sketch per key.
+
+    The coin flips of a merge are seeded by the first sketch's content as well, so they differ from merge to merge and
+    between the steps, and a repeated task flips the same.
+    """
     state: dict[tuple, list] = {}
     for pdf in batches:
         for *key, miss, b in pdf[_COLS].itertuples(index=False, name=None):
             key = tuple(None if x is None or x != x else x for x in key)
             held = state.get(key)
             if held is None:
-                state[key] = [miss, QuantileSketch.from_bytes(b, _seed(*key))]
+                state[key] = [miss, QuantileSketch.from_bytes(b, _seed(*key, zlib.crc32(b)))]
             else:
                 held[0] += miss
                 held[1].merge(QuantileSketch.from_bytes(b))
