@@ -28,13 +28,14 @@ def _language_model(spark: SparkSession, d: str) -> langid.LanguageModel:
 
 
 def _pairs(spark: SparkSession, d: str, languages: bool) -> DataFrame:
-    df = _rollouts(spark, d).select("line_no", "prompt_text", "response_text", source_name().alias("source"), "ground_truth")
+    limited = truncation.at_limit("response_len_tokens", "gen_cfg.max_new_tokens").alias("limited")
+    df = _rollouts(spark, d).select("line_no", "prompt_text", "response_text", source_name().alias("source"), limited)
     model = _language_model(spark, d) if languages else None
-    return cut(pairs.pair_features(df, "line_no", "prompt_text", "response_text", ["source", "ground_truth"], model), "pairs")
+    return cut(pairs.pair_features(df, "line_no", "prompt_text", "response_text", ["source", "limited"], model), "pairs")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.defects(_pairs(spark, d, True), "line_no", "source", "ground_truth")
+    return pairs.defects(_pairs(spark, d, True), "line_no", "source", "limited")
 
 
 def _text_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -54,12 +55,12 @@ def p2_text_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    f = truncation.mark_cut(_pairs(spark, d, False), "source", "ground_truth")
+    f = truncation.mark_cut(_pairs(spark, d, False), "source", "limited")
     return f.where(F.col("is_cut") & ~F.col("is_refusal")).select("line_no")
 
 
 def p3_cut_share_by_source(spark: SparkSession, d: str) -> DataFrame:
-    f = truncation.mark_cut(_pairs(spark, d, False), "source", "ground_truth")
+    f = truncation.mark_cut(_pairs(spark, d, False), "source", "limited")
     is_cut = F.col("is_cut") & ~F.col("is_refusal")
     return f.groupBy("source").agg(F.count("*").alias("n_responses"), F.count_if(is_cut).alias("n_cut"), F.avg(is_cut.cast("double")).alias("cut_share"))
 

@@ -89,25 +89,36 @@ _REFUSALS = [(re.compile(a, re.I), re.compile(b, re.I)) for a, b in REFUSALS]
 HINTS = ("n't", "n’t", "cannot", "can not", "could", "will not", "able to", "refrain", "declin", "déclin", "rather not", "possible", "allowed", "nicht", "ablehn", "verweig", "keine", "ne p", "ne s", "imposs", "refuser", "no p", "no me", "no est", "debo", "prefiero", "niego", "rechaz", "не ", "отказ", "невозм", "无法", "不能", "不便", "拒绝", "超出", "恕", "不予", "难以", "não", "recusar")
 
 
+BOUND_RE = re.compile(r"[。！？\n]|[.!?…]\s")
+
+
 def is_refusal(text: str) -> bool:
     """Whether the text ends by declining the task: a declining sentence, first person, after which nothing is solved.
 
     One that only hesitates, apologises or notes a difficulty and goes on is none.
     """
-    tail = text.rstrip()[-700:]
-    if any(map(str.isdigit, tail[-10:])):
-        return False
-    low = tail.lower()
-    if not any(h in low for h in HINTS):
-        return False
-    sents = [s.strip() for s in tk.SENT_RE.findall(tk.TAG_RE.sub("\n", tail))]
-    sents = [s for s in sents if any(map(str.isalpha, s))]
-    for s in reversed(sents[-4:]):
-        for says, goes_on in _REFUSALS:
-            if says.search(s) and not goes_on.search(s):
-                return True
-        if any(c.isdigit() for c in s) or tr.ANSWER_RE.fullmatch(s):
-            return False
+    text = text.rstrip()
+    size, done = 700, len(text)
+    while done > 0:
+        # Sentences from the end on, in stretches that begin with one.
+        start = max(0, done - size)
+        if start:
+            bound = BOUND_RE.search(text, start, done)
+            start = bound.end() if bound else 0
+        part = text[start:done]
+        if not any(h in part.lower() for h in HINTS):
+            if any(map(str.isdigit, part)):
+                return False
+            done, size = start, size * 4
+            continue
+        sents = [s.strip() for s in tk.SENT_RE.findall(tk.TAG_RE.sub("\n", part))]
+        for s in reversed([s for s in sents if any(map(str.isalpha, s))]):
+            for says, goes_on in _REFUSALS:
+                if says.search(s) and not goes_on.search(s):
+                    return True
+            if any(map(str.isdigit, s)) or tr.ANSWER_RE.fullmatch(s):
+                return False
+        done, size = start, size * 4
     return False
 
 
@@ -130,20 +141,21 @@ def _tokens(text: str) -> list[str]:
 
 
 @lru_cache(4096)
-def _grams(prompt: str) -> tuple[frozenset, list, str]:
+def _grams(prompt: str) -> tuple[frozenset, list]:
     p = _tokens(tk.TAG_RE.sub(" ", prompt))
     s = _tokens(statement(prompt))
-    return frozenset(zip(p, p[1:])), list(zip(s, s[1:], s[2:])), re.sub(r"[\W_]+", "", prompt.casefold())
+    return frozenset(zip(p, p[1:])), list(zip(s, s[1:], s[2:]))
 
 
-def _probe(text: str, flat: str) -> bool:
-    """Cheap test: some of a few short stretches of the text stand in the prompt."""
-    n, hits = len(text), 0
-    for k in range(9):
-        a = n * (k + 1) // 11
-        x = re.sub(r"[\W_]+", "", text[a : a + 14].casefold())[:7]
-        hits += len(x) > 1 and x in flat
-    return hits >= 3
+def _may_copy(text: str, grams: frozenset, lead_in: int) -> bool:
+    """Necessary for a copy, told from both ends of a long text: words of the prompt after the lead-in and at the end."""
+    if len(text) < 1200:
+        return True
+    head = _tokens(tk.TAG_RE.sub(" ", text[:600]))[: lead_in + 2]
+    if len(head) == lead_in + 2 and not any(g in grams for g in zip(head, head[1:])):
+        return False
+    end = _tokens(tk.TAG_RE.sub(" ", text[-400:]))[1:][-5:]
+    return len(end) < 5 or any(g in grams for g in zip(end, end[1:]))
 
 
 def is_copy(text: str, prompt: str | None, lead_in: int = 14) -> bool:
@@ -154,8 +166,8 @@ def is_copy(text: str, prompt: str | None, lead_in: int = 14) -> bool:
     """
     if not prompt:
         return False
-    grams, own, flat = _grams(prompt)
-    if len(own) < 2 or not _probe(text, flat):
+    grams, own = _grams(prompt)
+    if len(own) < 2 or not _may_copy(text, grams, lead_in):
         return False
     r = _tokens(tk.TAG_RE.sub(" ", text))
     n = len(r)
@@ -210,13 +222,13 @@ def pair_features(df: DataFrame, key: str, prompt: str, response: str, keep: Ite
                         asked[p] = d.lang
                 for t, p, d in zip(part, asks, langs):
                     if is_empty(t):
-                        rows.append((len(t or ""), True, False, False, False, None, None, "none", None, False, [], None))
+                        rows.append((len(t or ""), True, False, False, False, None, None, "none", None, False, []))
                         continue
                     copy = is_copy(t, p)
                     refusal = not copy and is_refusal(t)
                     junk = not copy and (d is None or d.lang is None) and ts.is_junk(t)
                     x = tr.NO_TAIL if copy or junk else tr.tail(t)
-                    rows.append((len(t), False, copy, refusal, junk, d.lang if d else None, asked.get(p) if p else None, x.state, x.key, x.closing, list(x.item_keys), tr.last_number(t) if x.state == "open" else None))
+                    rows.append((len(t), False, copy, refusal, junk, d.lang if d else None, asked.get(p) if p else None, x.state, x.key, x.closing, list(x.item_keys)))
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in PAIR_DDL.split(", ")])
             for c in (key, *keep):
                 out[c] = pdf[c].to_numpy()
@@ -227,9 +239,9 @@ def pair_features(df: DataFrame, key: str, prompt: str, response: str, keep: Ite
     return df.select(key, *keep, F.col(prompt).alias("_p"), F.col(response).alias("_r")).mapInPandas(run, schema)
 
 
-def defects(features: DataFrame, key: str, source: str, truth: str | None = None) -> DataFrame:
-    """A row (key, defect) per defect from ``pair_features``; the corpus decides on open ends."""
-    f = tr.mark_cut(features, source, truth)
+def defects(features: DataFrame, key: str, source: str, limited: str | None = None) -> DataFrame:
+    """A row (key, defect) per defect from ``pair_features``; the corpus decides on open ends (see ``mark_cut``)."""
+    f = tr.mark_cut(features, source, limited)
     found = F.array(
         F.when(F.col("is_empty"), F.lit("empty")),
         F.when(F.col("is_cut") & ~F.col("is_refusal"), F.lit("truncated")),

@@ -12,14 +12,15 @@ import re
 from collections import Counter
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollweave.llm import textkit as tk
 from rollweave.llm import textstats as ts
+from rollweave.session import cut
 
 BROKEN_RE = re.compile(r"(?:�+|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|&#?\w{0,6}|%[0-9A-Fa-f]?|\\)$")
-MARK_RE = re.compile(r"\s*(?:\[(?:cut|truncated|snip|\.\.\.|…)[^\]\n]{0,20}\]|<\|?(?:cut|truncated|end_?of_?text|eot)[^>\n]{0,12}>|\((?:cut|truncated)\)|\.{3,}|…+)$", re.I)
+MARK_RE = re.compile(r"\[(?:cut|truncated|snip|\.\.\.|…)[^\]\n]*\]|<\|?(?:cut|truncated|end_?of_?text|eot)[^>\n]*>|\((?:cut|truncated)\)", re.I)
 CLOSED_RE = re.compile(r"[.!?。！？][\"'”’»」』）)*_\]]*$")
 OPEN_END_RE = re.compile(r"[,;:，；：、=+×*/^<({\[\-–—“„«\\|&]$")
 STACK_RE = re.compile(r"```|\$\$|\$|[()\[\]{}“”„«»]|\\begin\{|\\end\{|<(/?)(table|tr|td|th|ul|ol|div)\b", re.I)
@@ -49,14 +50,25 @@ NO_TAIL = Tail("none", None, False, ())
 
 def tail_key(text: str) -> str:
     """The last words (characters, for Chinese), numbers as #, without the terminator."""
-    t = [x for x in TAIL_RE.findall(text[-80:])]
-    while t and t[-1] in ".!?。！？\"'”’»)*`$":
-        t.pop()
-    han = bool(t) and bool(tk.CJK_RE.match(t[-1] if not t[-1][0].isdigit() else (t[-2] if len(t) > 1 else "a")))
-    t = t[-(KEY_TOKENS + han) :]
-    if len(text) > 80 and len(t) < KEY_TOKENS:
-        return ""
-    return " ".join("#" if x[0].isdigit() else x.lower() for x in t)
+    size = 80
+    while True:
+        t = TAIL_RE.findall(text[-size:])
+        while t and t[-1] in ".!?。！？\"'”’»)*`$":
+            t.pop()
+        han = bool(t) and bool(tk.CJK_RE.match(t[-1] if not t[-1][0].isdigit() else (t[-2] if len(t) > 1 else "a")))
+        most = KEY_TOKENS + han
+        # The first word of the stretch may be a part of one.
+        if len(t) > most or size >= len(text):
+            return " ".join("#" if x[0].isdigit() else x.lower() for x in t[-most:])
+        size *= 4
+
+
+def unmarked(core: str) -> str | None:
+    """The text without the mark of a cut at its end; null where there is none."""
+    if core.endswith(("…", "...")):
+        return core.rstrip(".…").rstrip()
+    at = core.rfind({"]": "[", ")": "(", ">": "<"}.get(core[-1], "\0"))
+    return core[:at].rstrip() if at >= 0 and MARK_RE.fullmatch(core, at) else None
 
 
 def open_structures(text: str) -> list[str]:
@@ -136,13 +148,14 @@ def tail(text: str | None) -> Tail:
         core = core[: m.start()].rstrip()
     if not core:
         return NO_TAIL
-    marked = False
-    if core[-1] in ".…])>" and (m := MARK_RE.search(core[-60:])):
-        marked, core = True, core[: len(core) - len(m[0])].rstrip()
+    bare = unmarked(core)
+    marked = bare is not None
+    if bare is not None:
+        core = bare
         if not core:
             return NO_TAIL
     last = core[core.rfind("\n") + 1 :].strip()
-    if (core[-1] == "�" or core[-1] in "\\&%" or "\\" in last[-6:] or "&" in last[-7:]) and BROKEN_RE.search(core) and not core.endswith("\\\\"):
+    if (core[-1] == "�" or core[-1] in "\\&%" or "\\" in last[-6:] or "&" in last[-8:]) and BROKEN_RE.search(core) and not core.endswith("\\\\"):
         return Tail("cut", None, False, ())
     lines = [y for y in (x.strip() for x in core.split("\n")) if y]
     listed = [x for x in lines if ts.BULLET_RE.match(x)]
@@ -163,7 +176,7 @@ def tail(text: str | None) -> Tail:
     if ANSWER_RE.fullmatch(last):
         nums = NUMBER_RE.findall(last)
         if nums and len(lines) > 1 and not marked:
-            before = NUMBER_RE.findall(" ".join(lines[:-1])[-60:])
+            before = NUMBER_RE.findall(" ".join(lines[:-1]))
             if before and before[-1] != nums[-1] and before[-1].startswith(nums[-1]) and CLOSED_RE.search(lines[-2]):
                 return Tail("cut", None, False, ())
         return Tail("cut" if marked else "complete", None, False, ())
@@ -188,13 +201,7 @@ def tail(text: str | None) -> Tail:
     return Tail("open", tail_key(last), False, ())
 
 
-TAIL_DDL = "state string, tail_key string, closing boolean, item_keys array<string>, last_number string"
-
-
-def last_number(text: str) -> str | None:
-    """The number a text ends with, without its terminator."""
-    m = re.search(r"-?\d+$", text.rstrip()[-24:])
-    return m[0] if m else None
+TAIL_DDL = "state string, tail_key string, closing boolean, item_keys array<string>"
 
 
 def closing_keys(tails: DataFrame, source: str, least: int = 2, least_share: float = 0.0005, source_share: float = 0.002) -> DataFrame:
@@ -207,7 +214,7 @@ def closing_keys(tails: DataFrame, source: str, least: int = 2, least_share: flo
     """
     ends = tails.where("closing and tail_key <> ''").select(F.col(source).alias("src"), F.lit("open").alias("kind"), "tail_key")
     items = tails.where("size(item_keys) > 0").select(F.col(source).alias("src"), F.lit("item").alias("kind"), F.explode("item_keys").alias("tail_key")).where("tail_key <> ''")
-    by_source = ends.unionByName(items).groupBy("src", "kind", "tail_key").agg(F.count("*").alias("n"))
+    by_source = cut(ends.unionByName(items).groupBy("src", "kind", "tail_key").agg(F.count("*").alias("n")), "ends")
     every = by_source.groupBy("kind", "tail_key").agg(F.sum("n").alias("n")).withColumn("src", F.lit(None).cast("string"))
 
     def frequent(counts: DataFrame, share: float, by: list[str]) -> DataFrame:
@@ -219,26 +226,31 @@ def closing_keys(tails: DataFrame, source: str, least: int = 2, least_share: flo
     return frequent(by_source.where("src is not null"), source_share, ["src", "kind"]).unionByName(frequent(every, least_share, ["kind"]))
 
 
-def mark_cut(tails: DataFrame, source: str, truth: str | None = None, salts: int = 16) -> DataFrame:
+def at_limit(length: str, limit: str) -> Column:
+    """Whether the generation stopped at its limit: tokens of the response against the most allowed; false where either is unknown."""
+    return F.coalesce(F.col(length) >= F.col(limit), F.lit(False))
+
+
+def mark_cut(tails: DataFrame, source: str, limited: str | None = None, salts: int = 16) -> DataFrame:
     """Adds ``is_cut`` to the rows of ``tails``: structurally cut, or open with last words that close no text (entry)
     of the source nor of the corpus. A null source is held against the corpus alone.
 
-    ``truth`` may name a column with the expected answer: a text that ends, without a terminator, in a number that is
-    the beginning of the longer expected number was cut inside it.
+    ``limited`` may name a boolean column, true for texts whose generation stopped at its limit: their open ends must be
+    closing words of their own source, those of the corpus do not suffice.
 
     Only open ends that the corpus doesn't settle are shuffled to the keys of their source, each key in ``salts`` parts.
     """
-    keys = closing_keys(tails.select(source, "closing", "tail_key", "item_keys"), source)
+    keys = cut(closing_keys(tails.select(source, "closing", "tail_key", "item_keys"), source), "closing")
     own = keys.where("src is not null").select(F.col("src").alias(source), F.col("kind").alias("state"), "tail_key", F.lit(True).alias("closes_here"))
     own = own.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     every = keys.where("src is null").select(F.col("kind").alias("state"), "tail_key", F.lit(True).alias("closes"))
     j = tails.join(F.broadcast(every), ["state", "tail_key"], "left")
-    asks = F.coalesce(F.col("state").isin("open", "item") & F.col("closes").isNull() & F.col(source).isNotNull(), F.lit(False))
+    settled = F.col("closes").isNotNull()
+    if limited:
+        settled &= ~(F.coalesce(F.col(limited), F.lit(False)) & F.col(source).isNotNull())
+    asks = F.coalesce(F.col("state").isin("open", "item") & ~settled & F.col(source).isNotNull(), F.lit(False))
     salted = j.where(asks).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     held = salted.join(own, [source, "state", "tail_key", "_salt"], "left").drop("_salt")
     j = held.unionByName(j.where(~asks).withColumn("closes_here", F.lit(None).cast("boolean")))
-    shut = F.coalesce("closes_here", "closes", F.lit(False))
-    if truth:
-        t = F.trim(F.col(truth))
-        shut &= ~F.coalesce((F.col("last_number") != t) & t.startswith(F.col("last_number")), F.lit(False))
+    shut = F.coalesce(F.col("closes_here"), settled, F.lit(False))
     return j.withColumn("is_cut", (F.col("state") == "cut") | F.col("state").isin("open", "item") & ~shut).drop("closes_here", "closes")
