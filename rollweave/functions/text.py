@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
+from rollweave.functions.arrays import scan
+
 #: Discourse markers by kind. German ones have no word boundary, so they match inside words as well.
 SELF_REFLECT = (r"\bwait\b", r"\bwait a second\b", r"\bhold on\b", r"\bhang on\b", r"\blet me think\b", r"\bgive me a moment\b", r"\bjust a second\b", "等一下", "等一等", "先等等", "稍等", "moment mal", "einen moment", "подожди", "подождите", "секундочку")
 CONTRAST = (r"\bhowever\b", r"\bbut\b", r"\bon the other hand\b", r"\bnevertheless\b", r"\bnonetheless\b", "但是", "然而", "不过", "另一方面", "doch", "aber", "jedoch", "однако")
@@ -51,21 +53,23 @@ def longest_run(a: Column) -> Column:
     return F.aggregate(a, start, step)["best"]
 
 
-def _sorted_runs(a: Column) -> Column:
-    """Run lengths of the sorted array: the counts of its distinct values, in O(n log n)."""
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.array().cast("array<int>").alias("out"))
+def _over_counts(a: Column, step: Callable[[Column], Column]) -> Column:
+    """Sum over the distinct values of the array of what their counts give: ``step(n)`` is what the n-th occurrence adds.
 
-    def step(s: Column, x: Column) -> Column:
-        same = s["last"].eqNullSafe(x)
-        out = F.when(same | (s["run"] == 0), s["out"]).otherwise(F.concat(s["out"], F.array(s["run"])))
-        return F.struct(x.alias("last"), F.when(same, s["run"] + 1).otherwise(1).alias("run"), out.alias("out"))
+    One sort and one fold that keeps a number, so linear beside the sort.
+    """
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("total"))
+
+    def add(s: Column, x: Column) -> Column:
+        run = F.when(s["last"].eqNullSafe(x), s["run"] + 1).otherwise(1)
+        return F.struct(x.alias("last"), run.alias("run"), (s["total"] + step(run)).alias("total"))
 
-    return F.aggregate(F.array_sort(a), start, step, lambda s: F.when(s["run"] > 0, F.concat(s["out"], F.array(s["run"]))).otherwise(s["out"]))
+    return F.aggregate(F.array_sort(a), start, add)["total"]
 
 
 def top_share(a: Column) -> Column:
     n = F.size(a)
-    return F.when(n > 0, F.array_max(_sorted_runs(a)) / n).otherwise(0.0)
+    return F.when(n > 0, longest_run(F.array_sort(a)) / n).otherwise(0.0)
 
 
 def unique_share(a: Column) -> Column:
@@ -77,14 +81,15 @@ def trigram_repeat(a: Column) -> Column:
     """Share of word trigrams that occur more than once."""
     n = F.size(a)
     tri = F.when(n >= 3, F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.array_join(F.slice(a, i, 3), "\u0001"))).otherwise(F.array().cast("array<string>"))
-    rep = F.aggregate(F.filter(_sorted_runs(tri), lambda r: r > 1), F.lit(0), lambda s, r: s + r)
+    rep = _over_counts(tri, lambda k: F.when(k == 1, 0.0).when(k == 2, 2.0).otherwise(1.0))
     return F.when(n >= 3, rep / (n - 2)).otherwise(0.0)
 
 
 def entropy_bits(a: Column) -> Column:
-    """Shannon entropy per element, in bits."""
+    """Shannon entropy per element, in bits: log n less the mean of n log n over the counts."""
     n = F.size(a)
-    return F.when(n > 0, F.aggregate(_sorted_runs(a), F.lit(0.0), lambda s, r: s - r / n * F.log2(r / n))).otherwise(0.0)
+    weighted = _over_counts(a, lambda k: F.when(k == 1, 0.0).otherwise(k * F.log2(k) - (k - 1) * F.log2(F.greatest(k - 1, F.lit(1)))))
+    return F.when(n > 0, F.greatest(F.log2(n) - weighted / n, F.lit(0.0))).otherwise(0.0)
 
 
 @F.pandas_udf(Ty.DoubleType())
@@ -131,15 +136,22 @@ def sentences(c: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?s).+?(?:[.!?]+(?=\s|$)\s*|[。！？]+|$)"), F.lit(0))
 
 
+def _offsets(pieces: Column) -> Column:
+    """Where each piece of a text begins."""
+    return scan(pieces, F.lit(0), lambda at, x: at + F.length(x), before=True)
+
+
 def segments(df: DataFrame, key: str, text: str) -> DataFrame:
-    """A row per sentence: section_idx, sent_idx (over the text), section_local_sent_idx, char_start, char_end, text, markers."""
-    s = df.select(key, F.col(text).alias("_t"), F.posexplode(sections(F.col(text))).alias("section_idx", "_s"))
-    off = F.when(F.col("section_idx") > 0, F.aggregate(F.slice(sections(F.col("_t")), 1, F.greatest(F.col("section_idx"), F.lit(1))), F.lit(0), lambda a, x: a + F.length(x))).otherwise(0)
-    s = s.withColumn("_o", off).withColumn("_all", sentences(F.col("_s")))
-    e = s.select(key, "section_idx", "_o", "_all", F.posexplode("_all").alias("section_local_sent_idx", "text"))
-    i = F.col("section_local_sent_idx")
-    start = F.col("_o") + F.when(i > 0, F.aggregate(F.slice("_all", 1, F.greatest(i, F.lit(1))), F.lit(0), lambda a, x: a + F.length(x))).otherwise(0)
-    e = e.withColumn("char_start", start).withColumn("char_end", start + F.length("text"))
+    """A row per sentence: section_idx, sent_idx (over the text), section_local_sent_idx, char_start, char_end, text, markers.
+
+    A text is cut once and its offsets are summed up in one fold before it is exploded.
+    """
+    cut = lambda pieces: F.posexplode(F.arrays_zip(pieces.alias("s"), _offsets(pieces).alias("o")))
+    s = df.select(key, sections(F.col(text)).alias("_all")).select(key, cut(F.col("_all")).alias("section_idx", "_z"))
+    s = s.select(key, "section_idx", F.col("_z.o").alias("_o"), sentences(F.col("_z.s")).alias("_all"))
+    e = s.select(key, "section_idx", "_o", cut(F.col("_all")).alias("section_local_sent_idx", "_z"))
+    start, t = F.col("_o") + F.col("_z.o"), F.col("_z.s")
+    e = e.select(key, "section_idx", "section_local_sent_idx", start.alias("char_start"), (start + F.length(t)).alias("char_end"), t.alias("text"))
     m = markers(F.col("text"))
     return e.select(key, "section_idx", "section_local_sent_idx", "char_start", "char_end", "text", m["mask"].alias("marker_mask"), m["wait_like"].alias("marker_wait_like"))
 
@@ -172,9 +184,10 @@ def tandem_repeats(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([tandem_blocks(pd.factorize(np.array(_TOKEN_RE.findall(t), dtype=object))[0]) if t else (1, 0) for t in s], columns=["blocks", "length"])
 
 
-def token_ids(a: Column) -> Column:
-    """Numbers of the array's values in order of first appearance, from 0."""
-    return F.transform(a, lambda x: F.array_position(F.array_distinct(a), x).cast("int") - 1)
+@F.pandas_udf(Ty.ArrayType(Ty.IntegerType()))
+def token_ids(s: pd.Series) -> pd.Series:
+    """Numbers of the array's values in order of first appearance, from 0; a null value counts as one. Linear."""
+    return s.map(lambda a: None if a is None else pd.factorize(np.asarray(a, dtype=object), use_na_sentinel=False)[0].astype(np.int32))
 
 
 def neg_finite(c: Column) -> Column:

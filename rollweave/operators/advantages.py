@@ -1,6 +1,6 @@
 """Advantage estimators: grouped analytics over sequences (one row per sequence) and folds over tokens.
 
-Groups are window partitions, so one shuffle on the group key serves mean and deviation. Groups of one are
+Group statistics are partial aggregates that are joined back, so a group may hold any share of the rows. Groups of one are
 treated as the estimator defines them, not by the null that a sample deviation of one row gives.
 """
 
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rollweave.functions.arrays import scan
 from rollweave.functions.losses import whiten
 
 EPS = 1e-6
@@ -36,69 +37,81 @@ def compute_advantage(df: DataFrame, estimator: str, **options: object) -> DataF
     return ESTIMATORS[estimator](df, **options)
 
 
-def _over(group: str) -> tuple[Column, Column, Column]:
-    w = Window.partitionBy(group)
-    return (lambda c: F.avg(c).over(w)), (lambda c: F.stddev_samp(c).over(w)), F.count("*").over(w)  # type: ignore[return-value]
+def with_group(df: DataFrame, group: str, **stats: Column) -> DataFrame:
+    """Adds aggregates of each group to its rows; rows of a null group form one group.
+
+    Partial aggregates are joined back, so a group that holds a large part of the rows is never gathered in one task: its
+    rows are spread by the aggregation's map side and by the skew join, or not shuffled at all where the groups are few.
+    """
+    per = df.groupBy(group).agg(*[c.alias(n) for n, c in stats.items()]).withColumnRenamed(group, "_group")
+    return df.join(per, F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")
+
+
+def _moments(df: DataFrame, group: str, score: str) -> DataFrame:
+    return with_group(df, group, _mean=F.avg(score), _std=F.stddev_samp(score), _n=F.count("*"))
+
+
+def _done(df: DataFrame, adv: Column) -> DataFrame:
+    return df.withColumn("adv", adv).drop("_mean", "_std", "_n")
 
 
 @register("grpo")
 def grpo(df: DataFrame, group: str, score: str, eps: float = EPS, by_std: bool = True) -> DataFrame:
     """(s - mean) / (std + eps); a group of one has mean 0 and std 1."""
-    avg, std, n = _over(group)
-    one = n == 1
-    mean = F.when(one, 0.0).otherwise(avg(score))
-    dev = F.when(one, 1.0).otherwise(std(score))
-    x = F.col(score) - mean
-    return df.withColumn("adv", x / (dev + eps) if by_std else x)
+    one = F.col("_n") == 1
+    x = F.col(score) - F.when(one, 0.0).otherwise(F.col("_mean"))
+    return _done(_moments(df, group, score), x / (F.when(one, 1.0).otherwise(F.col("_std")) + eps) if by_std else x)
 
 
 @register("grpo_passk")
 def grpo_passk(df: DataFrame, group: str, score: str, order: str, eps: float = EPS, by_std: bool = True) -> DataFrame:
-    """The best row of a group gets its lead over the second (over std), all others 0; groups of one raise."""
-    w = Window.partitionBy(group)
-    ranked = Window.partitionBy(group).orderBy(F.desc(score), order)
-    full = ranked.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    lead = F.nth_value(score, 1).over(full) - F.nth_value(score, 2).over(full)
-    lead = lead / (F.stddev_samp(score).over(w) + eps) if by_std else lead
+    """The best row of a group gets its lead over the second (over std), all others 0; groups of one raise. Of equal scores
+    the row first in ``order``, which tells the rows of a group apart, is the best.
+
+    The two best rows are found before the shuffle (a limit per group), the deviation by partial aggregates.
+    """
+    ranked = df.select(group, score, order).withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), order))).where("_r <= 2")
+    best = ranked.groupBy(group).agg(F.max(F.when(F.col("_r") == 1, F.col(score))).alias("_first"), F.max(F.when(F.col("_r") == 2, F.col(score))).alias("_second"), F.max(F.when(F.col("_r") == 1, F.col(order))).alias("_best"))
+    best = best.withColumnRenamed(group, "_group")
+    d = _moments(df, group, score).join(best, F.col(group).eqNullSafe(F.col("_group")), "left")
+    lead = F.col("_first") - F.col("_second")
+    lead = lead / (F.col("_std") + eps) if by_std else lead
     small = F.raise_error(F.lit("a group has fewer than two rows")).cast("double")
-    return df.withColumn("adv", F.when(F.count("*").over(w) < 2, small).when(F.row_number().over(ranked) == 1, lead).otherwise(0.0))
+    return _done(d, F.when(F.col("_n") < 2, small).when(F.col(order) == F.col("_best"), lead).otherwise(0.0)).drop("_group", "_first", "_second", "_best")
 
 
 @register("rloo")
 def rloo(df: DataFrame, group: str, score: str) -> DataFrame:
     """n / (n - 1) (s - mean); a group of one keeps its score."""
-    avg, _, n = _over(group)
-    return df.withColumn("adv", F.when(n > 1, (F.col(score) - avg(score)) * n / (n - 1)).otherwise(F.col(score)))
+    n = F.col("_n")
+    return _done(_moments(df, group, score), F.when(n > 1, (F.col(score) - F.col("_mean")) * n / (n - 1)).otherwise(F.col(score)))
 
 
 @register("opo")
 def opo(df: DataFrame, group: str, score: str, length: str) -> DataFrame:
     """s less the length-weighted mean of the group; a group of one keeps its score."""
-    w = Window.partitionBy(group)
-    base = F.sum(F.col(length) * F.col(score)).over(w) / F.sum(length).over(w)
-    return df.withColumn("adv", F.col(score) - F.when(F.count("*").over(w) > 1, base).otherwise(0.0))
+    d = with_group(df, group, _mean=F.sum(F.col(length) * F.col(score)) / F.sum(length), _n=F.count("*"))
+    return _done(d, F.col(score) - F.when(F.col("_n") > 1, F.col("_mean")).otherwise(0.0))
 
 
 @register("gpg")
 def gpg(df: DataFrame, group: str, score: str, f_norm: float = 1.0) -> DataFrame:
     """alpha (s - mean) / f_norm, alpha = rows over rows with a nonzero score; a group of one has mean 0."""
-    avg, _, n = _over(group)
     alpha = df.agg((F.count("*") / F.greatest(F.count_if(F.col(score) != 0), F.lit(1))).alias("_alpha"))
-    j = df.crossJoin(F.broadcast(alpha))
-    return j.withColumn("adv", F.col("_alpha") * (F.col(score) - F.when(n > 1, avg(score)).otherwise(0.0)) / f_norm).drop("_alpha")
+    j = _moments(df, group, score).crossJoin(F.broadcast(alpha))
+    return _done(j, F.col("_alpha") * (F.col(score) - F.when(F.col("_n") > 1, F.col("_mean")).otherwise(0.0)) / f_norm).drop("_alpha")
 
 
 @register("reinforce_plus_plus_baseline")
 def rfpp_baseline(df: DataFrame, group: str, score: str, mask: str) -> DataFrame:
     """s - mean of the group (0 for a group of one), whitened over the masked rows."""
-    avg, _, n = _over(group)
-    return whiten(df.withColumn("_d", F.col(score) - F.when(n > 1, avg(score)).otherwise(0.0)), "_d", mask, "adv").drop("_d")
+    d = _moments(df, group, score).withColumn("_d", F.col(score) - F.when(F.col("_n") > 1, F.col("_mean")).otherwise(0.0))
+    return whiten(d, "_d", mask, "adv").drop("_d", "_mean", "_std", "_n")
 
 
 @register("group_centred")
 def group_centred(df: DataFrame, group: str, score: str) -> DataFrame:
-    avg, _, _ = _over(group)
-    return df.withColumn("adv", F.col(score) - avg(score))
+    return _done(_moments(df, group, score), F.col(score) - F.col("_mean"))
 
 
 @register("remax")
@@ -121,31 +134,22 @@ def unpack(df: DataFrame, seq: str, arrays: dict[str, str]) -> DataFrame:
     return df.select(seq, F.posexplode(z).alias("pos", "z")).select(seq, "pos", *[F.col(f"z.{n}").alias(n) for n in arrays])
 
 
-def _fold(tokens: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
-    return F.aggregate(F.reverse(tokens), start, step)
-
-
 def discounted(values: Column, gamma: float) -> Column:
     """y_t = x_t + gamma y_(t+1) over an array, in order."""
-    start = F.struct(F.lit(0.0).alias("y"), F.array().cast("array<double>").alias("out"))
-    return F.reverse(_fold(values, start, lambda a, x: F.struct((x + gamma * a["y"]).alias("y"), F.concat(a["out"], F.array(x + gamma * a["y"])).alias("out")))["out"])
+    return F.reverse(scan(F.reverse(values), F.lit(0.0), lambda y, x: x + gamma * y))
 
 
 @register("gae")
 def gae(df: DataFrame, seq: str, order: list[str], reward: str, value: str, mask: str, gamma: float = 1.0, lam: float = 0.95) -> DataFrame:
     """Token rows with ret and whitened adv; masked tokens pass the next value and the running sum through unchanged."""
     packed = pack(df, seq, order, [reward, value, mask])
-    empty = F.array().cast("array<double>")
-    start = F.struct(F.lit(0.0).alias("nv"), F.lit(0.0).alias("run"), empty.alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
+    def step(s: Column, x: Column) -> Column:
         m = x[mask].cast("double")
-        run = x[reward] + gamma * a["nv"] - x[value] + gamma * lam * a["run"]
-        nv = x[value] * m + (1 - m) * a["nv"]
-        kept = run * m + (1 - m) * a["run"]
-        return F.struct(nv.alias("nv"), kept.alias("run"), F.concat(a["out"], F.array(kept)).alias("out"))
+        run = x[reward] + gamma * s["nv"] - x[value] + gamma * lam * s["run"]
+        return F.struct((x[value] * m + (1 - m) * s["nv"]).cast("double").alias("nv"), (run * m + (1 - m) * s["run"]).cast("double").alias("run"))
 
-    folded = packed.select(seq, "tokens", F.reverse(_fold(F.col("tokens"), start, step)["out"]).alias("_a"))
+    folded = packed.select(seq, "tokens", F.reverse(scan(F.reverse("tokens"), F.struct(F.lit(0.0).alias("nv"), F.lit(0.0).alias("run")), step, lambda s: s["run"])).alias("_a"))
     z = folded.select(seq, F.posexplode(F.arrays_zip("tokens", "_a")).alias("pos", "z"))
     tok = z.select(seq, "pos", *[F.col(f"z.tokens.{c}").alias(c) for c in (reward, value, mask)], F.col("z._a").alias("_a"))
     tok = tok.withColumn("ret", F.col("_a") + F.col(value))
@@ -156,13 +160,12 @@ def gae(df: DataFrame, seq: str, order: list[str], reward: str, value: str, mask
 def rfpp(df: DataFrame, seq: str, order: list[str], reward: str, mask: str, gamma: float = 1.0) -> DataFrame:
     """Token rows with the discounted return, reset after each masked token, and whitened adv (0 outside the mask)."""
     packed = pack(df, seq, order, [reward, mask])
-    start = F.struct(F.lit(0.0).alias("run"), F.array().cast("array<double>").alias("out"))
+    start = F.struct(F.lit(0.0).alias("ret"), F.lit(0.0).alias("go"))
 
-    def step(a: Column, x: Column) -> Column:
-        run = x[reward] + gamma * a["run"]
-        return F.struct((run * x[mask]).alias("run"), F.concat(a["out"], F.array(run)).alias("out"))
+    def step(s: Column, x: Column) -> Column:
+        return F.struct((x[reward] + gamma * s["ret"] * s["go"]).cast("double").alias("ret"), x[mask].cast("double").alias("go"))
 
-    folded = packed.select(seq, "tokens", F.reverse(_fold(F.col("tokens"), start, step)["out"]).alias("_r"))
+    folded = packed.select(seq, "tokens", F.reverse(scan(F.reverse("tokens"), start, step, lambda s: s["ret"])).alias("_r"))
     z = folded.select(seq, F.posexplode(F.arrays_zip("tokens", "_r")).alias("pos", "z"))
     tok = z.select(seq, "pos", F.col(f"z.tokens.{reward}").alias(reward), F.col(f"z.tokens.{mask}").alias(mask), F.col("z._r").alias("ret"))
     w = whiten(tok, "ret", mask, "adv")

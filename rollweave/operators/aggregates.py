@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -104,38 +104,81 @@ def ladder(n: int) -> list[int]:
     return [*out, n] if n > 1 else []
 
 
+def prompt_moments(df: DataFrame, source: str, uid: str, score: str) -> DataFrame:
+    """(source, metric, value): mean@N and, of N above 1, std@N (population) of each prompt, averaged over the prompts of the
+    source with N scores. Null and NaN scores are left out. On the JVM."""
+    per = df.where(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(source, uid).agg(F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), F.count("*").alias("n"))
+    made = F.array(*[F.struct(F.concat(F.lit(f"{m}@"), F.col("n").cast("string")).alias("metric"), F.when(F.lit(m == "mean") | (F.col("n") > 1), F.col(m)).alias("value")) for m in ("mean", "std")])
+    rows = per.select(source, F.explode(made).alias("x")).select(source, "x.metric", "x.value").where("value is not null")
+    return rows.groupBy(source, "metric").agg(F.avg("value").alias("value"))
+
+
+def _votes(codes: np.ndarray) -> np.ndarray:
+    """In rows of vote codes, the place of the first vote for what got most votes."""
+    k = codes.shape[-1]
+    if k <= 16:
+        return (codes[..., :, None] == codes[..., None, :]).sum(-1).argmax(-1)
+    flat = codes.reshape(-1, k)
+    out = np.empty(len(flat), int)
+    for i, row in enumerate(flat):
+        out[i] = np.bincount(row)[row].argmax()
+    return out.reshape(codes.shape[:-1])
+
+
+def _resampled(v: np.ndarray, codes: np.ndarray, draws: int, seed: int) -> list[tuple[str, np.ndarray]]:
+    """Best, worst and majority of prompts with equally many scores (rows of ``v``): mean and deviation over the draws, which
+    are the same for every prompt as the generator is seeded anew for each."""
+    out, n = [], v.shape[1]
+    for k in ladder(n):
+        picks = np.random.RandomState(seed).randint(0, n, size=(draws, k))
+        x = v[:, picks]
+        maj = np.take_along_axis(x, _votes(codes[:, picks])[..., None], -1)[..., 0]
+        for name, y in (("best", x.max(-1)), ("worst", x.min(-1)), ("maj", maj)):
+            out += [(f"{name}@{k}/mean", y.mean(1)), (f"{name}@{k}/std", y.std(1))]
+    return out
+
+
 def validation_metrics(df: DataFrame, source: str, uid: str, score: str, vote: str, order: str, draws: int = 1000, seed: int = 42) -> DataFrame:
     """(source, metric, value): mean@N and std@N per prompt, then best, worst and majority at 2, 4, ..., N by bootstrap,
     each averaged over the prompts of the source. Rows with a null or NaN score are left out.
 
-    A prompt group holds the repeats of one prompt, so it fits a task; the generator is seeded anew for every group.
+    A prompt group holds the repeats of one prompt, so it fits a task. Groups stream through sorted partitions and are
+    resampled together where they have as many scores, in blocks of bounded memory.
     """
     types = dict(df.dtypes)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        v = pdf[score].to_numpy(dtype=float)
-        codes, _ = pd.factorize(pdf[vote], use_na_sentinel=False)
-        n = len(v)
-        rows = [(f"mean@{n}", v.mean())]
-        if n > 1:
-            rows.append((f"std@{n}", v.std()))
-        for k in ladder(n):
-            picks = np.random.RandomState(seed).randint(0, n, size=(draws, k))
-            x = v[picks]
-            rows += [(f"best@{k}/mean", x.max(1).mean()), (f"best@{k}/std", x.max(1).std()), (f"worst@{k}/mean", x.min(1).mean()), (f"worst@{k}/std", x.min(1).std())]
-            c = codes[picks]
-            same = (c[:, :, None] == c[:, None, :]).sum(2)
-            first = same.argmax(1)
-            y = x[np.arange(draws), first]
-            rows += [(f"maj@{k}/mean", y.mean()), (f"maj@{k}/std", y.std())]
-        out = pd.DataFrame(rows, columns=["metric", "value"])
-        out.insert(0, source, pdf[source].iloc[0])
-        return out
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: dict[int, list[tuple]] = {}
+
+        def resample(n: int) -> pd.DataFrame:
+            groups = waiting.pop(n)
+            made = _resampled(np.array([g[1] for g in groups]), np.array([g[2] for g in groups]), draws, seed)
+            return pd.DataFrame([(g[0], m, x) for m, xs in made for g, x in zip(groups, xs.tolist())], columns=[source, "metric", "value"])
+
+        def groups() -> Iterator[pd.DataFrame]:
+            rest = None
+            for pdf in batches:
+                pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+                key = pd.factorize(pd.Series(list(zip(pdf[source], pdf[uid]))))[0]
+                cuts = np.flatnonzero(np.diff(key)) + 1
+                for a, b in zip([0, *cuts[:-1]], cuts):
+                    yield pdf.iloc[a:b]
+                rest = pdf.iloc[cuts[-1] if len(cuts) else 0 :]
+            if rest is not None and len(rest):
+                yield rest
+
+        for g in groups():
+            n = len(g)
+            if n > 1:
+                waiting.setdefault(n, []).append((g[source].iloc[0], g[score].to_numpy(dtype=float), pd.factorize(g[vote], use_na_sentinel=False)[0]))
+                if len(waiting[n]) * n * draws * min(n, 16) >= 4_000_000:
+                    yield resample(n)
+        for n in list(waiting):
+            yield resample(n)
 
     ok = df.where(F.col(score).isNotNull() & ~F.isnan(score)).select(source, uid, score, vote, order)
-    per = ok.groupBy(source, uid).applyInPandas(run, f"`{source}` {types[source]}, metric string, value double")
-    return per.groupBy(source, "metric").agg(F.avg("value").alias("value"))
+    drawn = ok.repartition(source, uid).sortWithinPartitions(source, uid, order).mapInPandas(run, f"`{source}` {types[source]}, metric string, value double")
+    return drawn.groupBy(source, "metric").agg(F.avg("value").alias("value")).unionByName(prompt_moments(df, source, uid, score))
 
 
 def bootstrap(values: np.ndarray, size: int, reducers: Mapping[str, object], draws: int = 1000, seed: int = 42) -> dict[str, tuple[float, float]]:

@@ -159,10 +159,10 @@ def reorder(df: DataFrame, order: DataFrame, idx: str = IDX) -> DataFrame:
 
 
 def minibatches(df: DataFrame, size: int, epochs: int, seed: int, idx: str = IDX) -> DataFrame:
-    """(epoch, batch) of each row: a seeded hash order per epoch, cut into batches. Ranks are windows per epoch."""
-    e = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    w = Window.partitionBy("epoch").orderBy(F.xxhash64(F.lit(seed), "epoch", idx), idx)
-    return e.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+    """(epoch, batch) of each row: a seeded hash order per epoch, cut into batches; by distributed positions over all epochs."""
+    e = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("_h", F.xxhash64(F.lit(seed), "epoch", idx))
+    at = with_index(e, ["epoch", "_h", idx], "_at").crossJoin(F.broadcast(df.agg(F.count("*").alias("_n"))))
+    return at.withColumn("batch", F.floor((F.col("_at") - F.col("epoch") * F.col("_n")) / size)).drop("_h", "_at", "_n")
 
 
 def check_consistency(df: DataFrame, arrays: Sequence[str]) -> DataFrame:

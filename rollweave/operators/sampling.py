@@ -10,7 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rollweave.operators.batch import with_index
+
 MISSING = "__MISSING__"
+#: Rows whose weights one task sums up when resampling.
+ROWS_PER_PART = 1_000_000
 
 
 def group_name(c: str | Column) -> Column:
@@ -63,26 +67,37 @@ def target_sizes(counts: DataFrame, n: str, share: float, rounding: str = "floor
 
 
 def stratified(df: DataFrame, group: str, order: Column, tiebreak: str, share: float, rounding: str = "floor", least: int = 0, most: int | None = None) -> DataFrame:
-    """A share of every group, the rows first in ``order``. Two windows on one key: one shuffle."""
-    w = Window.partitionBy("_g")
-    d = df.withColumn("_g", group_name(group)).withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(order, tiebreak)))
-    return target_sizes(d, "_n", share, rounding, least, most).where(F.col("_r") <= F.col("k")).drop("_g", "_n", "_r", "k")
+    """A share of every group, the rows first in ``order``.
+
+    Ranks come from distributed positions in the order (group, order, tiebreak) less the group's first position, so a group
+    of any size is spread over range partitions.
+    """
+    d = with_index(df.withColumns({"_g": group_name(group), "_o": order}), ["_g", "_o", tiebreak], "_at")
+    per = target_sizes(d.groupBy("_g").agg(F.count("*").alias("_n"), F.min("_at").alias("_first")), "_n", share, rounding, least, most)
+    return d.join(per, "_g").where(F.col("_at") - F.col("_first") < F.col("k")).drop("_g", "_o", "_at", "_n", "_first", "k")
+
+
+#: Up to so many rows a limit is a heap per task whose rest one task merges; above, positions are computed distributedly.
+HEAP_ROWS = 10_000
 
 
 def reservoir(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """n rows, each set of n equally likely over seeds; top-n by hash is a distributed heap, not a full sort."""
-    return df.orderBy(seeded(key, seed), key).limit(n)
+    """n rows, each set of n equally likely over seeds: the first n by hash, as a distributed heap or by positions."""
+    if n <= HEAP_ROWS:
+        return df.orderBy(seeded(key, seed), key).limit(n)
+    return with_index(df.withColumn("_h", seeded(key, seed)), ["_h", key], "_at").where(F.col("_at") < n).drop("_h", "_at")
 
 
 def resample(df: DataFrame, key: str, weight: Column, n: int, seed: int = 0) -> DataFrame:
     """n draws with replacement in proportion to ``weight`` (null, NaN and negative: 0): cumulative weights and a range join.
 
     Each draw is a number in [0, total) from its hash. Draws and cumulative intervals are cut into the same buckets, so the
-    range condition is an equi-join; adds ``draw``.
+    range condition is an equi-join; adds ``draw``. Weights are summed in parts of about ``ROWS_PER_PART`` rows.
     """
     w = F.when(F.coalesce(weight, F.lit(0.0)) > 0, F.nanvl(weight, F.lit(0.0))).otherwise(0.0)
     d = df.withColumn("_w", w.cast("double")).where("_w > 0")
-    salt = F.pmod(F.xxhash64(key), F.lit(64))
+    parts = max(64, df.count() // ROWS_PER_PART)
+    salt = F.pmod(F.xxhash64(key), F.lit(parts))
     d = d.withColumn("_s", salt)
     per = d.groupBy("_s").agg(F.sum("_w").alias("_t"))
     before = per.withColumn("_b", F.coalesce(F.sum("_t").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
@@ -138,14 +153,14 @@ def karmarkar_karp(weights: Sequence[int], parts: int, equal: bool = False) -> l
 
 
 def greedy(weights: Sequence[int], parts: int, equal: bool = False) -> list[list[int]]:
-    """Ascending order into the lightest part; ``equal`` fills parts round by round through a large constant per item."""
-    bias = sum(weights) + 1 if equal else 0
-    sets: list[list] = [[0, k, []] for k in range(parts)]
-    heapq.heapify(sets)
-    for w, i in sorted((w, i) for i, w in enumerate(weights)):
-        s = sets[0]
-        heapq.heapreplace(sets, [s[0] + w + bias, s[1], s[2] + [i]])
-    return [sorted(s[2]) for s in sorted(sets, key=lambda s: s[1])]
+    """Each item, lightest first, goes to the lightest part; with ``equal`` to the lightest of the parts with fewest items."""
+    held: list[list[int]] = [[] for _ in range(parts)]
+    heap = [(0, 0, k) for k in range(parts)]
+    for i in sorted(range(len(weights)), key=lambda i: (weights[i], i)):
+        rank, total, k = heap[0]
+        held[k].append(i)
+        heapq.heapreplace(heap, (rank + 1 if equal else 0, total + weights[i], k))
+    return [sorted(x) for x in held]
 
 
 def balanced(df: DataFrame, batch: str, key: str, weight: str, parts: int, equal: bool = False) -> DataFrame:

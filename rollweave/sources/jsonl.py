@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from rollweave.functions.text import file_name
-from rollweave.operators.sampling import group_name, seeded
+from rollweave.operators.sampling import group_name, reservoir, seeded
 
 #: Scalar fields of a rollout record.
 ROLLOUT = (
@@ -71,7 +71,7 @@ def scan_counts(df: DataFrame, kept: Column, correct: Column) -> DataFrame:
 
 def train_test(df: DataFrame, key: str, test_size: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Seeded order; the first ``test_size`` rows are the test set, all others the training set."""
-    test = df.orderBy(seeded(key, seed), key).limit(test_size)
+    test = reservoir(df, key, test_size, seed)
     return df.join(test.select(key), key, "left_anti"), test
 
 
