@@ -98,7 +98,7 @@ def is_refusal(text: str) -> bool:
     One that only hesitates, apologises or notes a difficulty and goes on is none.
     """
     text = text.rstrip()
-    size, done = 700, len(text)
+    size, done = 150, len(text)
     while done > 0:
         # Sentences from the end on, in stretches that begin with one.
         start = max(0, done - size)
@@ -113,9 +113,9 @@ def is_refusal(text: str) -> bool:
             continue
         sents = [s.strip() for s in tk.SENT_RE.findall(tk.TAG_RE.sub("\n", part))]
         for s in reversed([s for s in sents if any(map(str.isalpha, s))]):
-            for says, goes_on in _REFUSALS:
-                if says.search(s) and not goes_on.search(s):
-                    return True
+            low = s.lower()
+            if any(h in low for h in HINTS) and any(says.search(s) and not goes_on.search(s) for says, goes_on in _REFUSALS):
+                return True
             if any(map(str.isdigit, s)) or tr.ANSWER_RE.fullmatch(s):
                 return False
         done, size = start, size * 4
@@ -147,15 +147,24 @@ def _grams(prompt: str) -> tuple[frozenset, list]:
     return frozenset(zip(p, p[1:])), list(zip(s, s[1:], s[2:]))
 
 
-def _may_copy(text: str, grams: frozenset, lead_in: int) -> bool:
-    """Necessary for a copy, told from both ends of a long text: words of the prompt after the lead-in and at the end."""
-    if len(text) < 1200:
+@lru_cache(4096)
+def _folded(prompt: str) -> str:
+    return unicodedata.normalize("NFKC", prompt).casefold()
+
+
+def _ends_alike(text: str, prompt: str) -> bool:
+    """Necessary for a copy: two neighbours among the last five words stand in the prompt. Told from the end of the text."""
+    end = _tokens(tk.TAG_RE.sub(" ", text[-160:]))
+    if len(text) > 160 and len(end) < 10:
         return True
-    head = _tokens(tk.TAG_RE.sub(" ", text[:600]))[: lead_in + 2]
-    if len(head) == lead_in + 2 and not any(g in grams for g in zip(head, head[1:])):
-        return False
-    end = _tokens(tk.TAG_RE.sub(" ", text[-400:]))[1:][-5:]
-    return len(end) < 5 or any(g in grams for g in zip(end, end[1:]))
+    p = _folded(prompt)
+    return any(a in p and b in p for a, b in zip(end[-5:], end[-4:]))
+
+
+def _begins_alike(text: str, grams: frozenset, lead_in: int) -> bool:
+    """Necessary for a copy: words of the prompt after the lead-in. Told from the beginning of a long text."""
+    head = _tokens(tk.TAG_RE.sub(" ", text[:300]))[: lead_in + 2] if len(text) > 400 else []
+    return len(head) < lead_in + 2 or any(g in grams for g in zip(head, head[1:]))
 
 
 def is_copy(text: str, prompt: str | None, lead_in: int = 14) -> bool:
@@ -164,10 +173,10 @@ def is_copy(text: str, prompt: str | None, lead_in: int = 14) -> bool:
     Layout, case and punctuation don't matter; up to one word in eight may be altered and at most ``lead_in``
     words may precede. A text that goes on after the statement is no copy; nor is any text of a null prompt.
     """
-    if not prompt:
+    if not prompt or not _ends_alike(text, prompt):
         return False
     grams, own = _grams(prompt)
-    if len(own) < 2 or not _may_copy(text, grams, lead_in):
+    if len(own) < 2 or not _begins_alike(text, grams, lead_in):
         return False
     r = _tokens(tk.TAG_RE.sub(" ", text))
     n = len(r)

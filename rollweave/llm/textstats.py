@@ -141,13 +141,17 @@ def _cells(line: str) -> tuple[str, int] | None:
     return None
 
 
-def _natural(piece: str, strict: int = 9) -> float:
+def _natural(piece: str, strict: int = 9, ws: list[str] | None = None) -> float:
     """1 for natural language, 0 for what no language explains, 0.5 where too little is there to tell.
 
-    One common word in ``strict`` words (characters, for Chinese: in 1.5 times that) is asked for.
+    One common word in ``strict`` words (characters, for Chinese: in 1.5 times that) is asked for. ``ws`` are the words of
+    the piece where they are at hand; mark-up does not count among them.
     """
-    s = tk.MARKUP_RE.sub(" ", piece) if "\\" in piece or "<" in piece or "$" in piece or "&" in piece else piece
-    ws = tk.lower_words(s)
+    s = piece
+    if "\\" in piece or "<" in piece or "$" in piece or "&" in piece:
+        s, ws = tk.MARKUP_RE.sub(" ", piece), None
+    if ws is None:
+        ws = tk.lower_words(s)
     letters = sum(map(len, ws))
     if letters == 0 or letters * 4 < len(piece) - piece.count(" "):
         alnum = sum(map(str.isalnum, piece))
@@ -276,7 +280,7 @@ def is_junk(text: str, least_chars: int = 30) -> bool:
     if n < least_chars:
         return False
     ws = tk.lower_words(t)
-    if _natural(t, 5) == 1.0 and len(set(ws)) * 5 > len(ws) * 2 and (n - sum(map(len, ws)) - t.count(" ")) * 3 < n and not may_loop(t):
+    if _natural(t, 5, ws) == 1.0 and len(set(ws)) * 5 > len(ws) * 2 and (n - sum(map(len, ws)) - t.count(" ")) * 3 < n and not may_loop(t):
         return False
     p = profile(t)
     return p[-1] >= 0.5 and p[-1] >= max(p[-4], p[-3])

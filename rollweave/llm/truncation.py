@@ -176,7 +176,7 @@ def tail(text: str | None) -> Tail:
     if ANSWER_RE.fullmatch(last):
         nums = NUMBER_RE.findall(last)
         if nums and len(lines) > 1 and not marked:
-            before = NUMBER_RE.findall(" ".join(lines[:-1]))
+            before = next((x for y in reversed(lines[:-1]) if (x := NUMBER_RE.findall(y))), [])
             if before and before[-1] != nums[-1] and before[-1].startswith(nums[-1]) and CLOSED_RE.search(lines[-2]):
                 return Tail("cut", None, False, ())
         return Tail("cut" if marked else "complete", None, False, ())
