@@ -39,6 +39,7 @@ HEX_RE = re.compile(r"(?:0x)?[0-9a-fA-F]{4,16}[:\s]\s*(?:[0-9a-fA-F]{2}\s?){4,}"
 ENDS = tuple(".!?。！？…:;：；\"”’»)]}$*`>")
 
 
+WIDE_BLANK_RE = re.compile(r"\s{2,}")
 BLANKS = np.array([ord(c) for c in " \t\r\n\u00a0\u3000"], dtype=np.uint32)
 
 
@@ -135,7 +136,9 @@ def _cells(line: str) -> tuple[str, int] | None:
         c = line.count(d)
         if c and len(line) <= 24 * (c + 1) and (d in "\t|" or f"{d} " not in line):
             return d, c + 1
-    parts = re.split(r"\s{2,}", line)
+    if "  " not in line and "\t" not in line and line.isascii():
+        return None
+    parts = WIDE_BLANK_RE.split(line)
     if len(parts) > 2 and len(line) <= 30 * len(parts):
         return "  ", len(parts)
     return None
