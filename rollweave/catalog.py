@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollweave.plans import batch_queries, group_queries, registry, text_queries, token_queries  # noqa: F401  (they register)
+from rollweave.plans import batch_queries, extra_queries, group_queries, registry, text_queries, token_queries  # noqa: F401  (they register)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

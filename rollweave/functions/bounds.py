@@ -120,6 +120,42 @@ def band(logp: Column, method: str = "bandkl", delta: float = 0.05, eps_low: flo
     return F.when(logp.isNotNull(), clamp(lower, 0.0, 1.0)), F.when(logp.isNotNull(), clamp(upper, 1.0, most))
 
 
+def newton(p: np.ndarray, delta: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
+    """Roots of the KL divergence by Newton steps on log r, kept inside a bracket that halves where a step would leave it."""
+    out = []
+    with np.errstate(all="ignore"):
+        top = -np.log(p)
+        for side in (-1.0, 1.0):
+            inner, outer = np.zeros_like(p), np.full_like(p, -745.0) if side < 0 else top.copy()
+            x = np.clip(side * np.sqrt(2 * delta * (1 - p) / p), np.minimum(inner, outer), np.maximum(inner, outer)) / 2
+            for _ in range(rounds):
+                r = np.exp(x)
+                gap = divergence(f_kl, p, r) - delta
+                inner, outer = np.where(gap < 0, x, inner), np.where(gap < 0, outer, x)
+                slope = -p + p * r * (1 - p) / np.maximum(1 - r * p, 1e-300)
+                step = x - gap / slope
+                inside = (step > np.minimum(inner, outer)) & (step < np.maximum(inner, outer))
+                x = np.where(inside, step, 0.5 * (inner + outer))
+            end = 0.0 * p if side < 0 else 1 / p
+            out.append(np.where(divergence(f_kl, p, end) <= delta, end, np.exp(x)))
+    return out[0], out[1]
+
+
+def token_kl_bounds(logp: Column, delta: float, solve: str = "bisect", rounds: int = 50) -> Bounds:
+    """Ratio bounds of a token under a KL budget from its old log-probability, by bisection or by safeguarded Newton steps."""
+    if solve not in ("bisect", "newton"):
+        raise ValueError(f"unknown solver {solve!r}")
+
+    @F.pandas_udf(Ty.StructType([Ty.StructField("lower", Ty.DoubleType()), Ty.StructField("upper", Ty.DoubleType())]))
+    def run(p: pd.Series) -> pd.DataFrame:
+        x = p.to_numpy(dtype=float, na_value=np.nan)
+        lo, up = bisect(x, delta, f_kl, rounds) if solve == "bisect" else newton(x, delta, rounds)
+        return pd.DataFrame({"lower": lo, "upper": up})
+
+    s = run(probability(logp))
+    return F.when(logp.isNotNull(), s["lower"]), F.when(logp.isNotNull(), s["upper"])
+
+
 def dcpo(logp: Column, eps_low: float = 0.16, eps_high: float = 0.2, most: float = 10.0, floor: float = 1e-12) -> Bounds:
     """1/2 +- 1/2 sqrt(1 +- 4 eps / q), the upper one under a ceiling."""
     if eps_low < 0 or eps_high < 0 or most < 1 or floor <= 0:

@@ -288,6 +288,11 @@ dapo_score = _pairwise(_dapo)
 strict_box_score = _pairwise(lambda s, g: 1.0 if s and last_boxed(s[-100:]) is not None and last_boxed(s[-100:]) == g else -1.0)
 
 
+def verified_score(output: Column, truth: Column, timeout_score: float = 0.0) -> Column:
+    """1 for the same answer, 0 for another, ``timeout_score`` where there is nothing to compare."""
+    return F.when(output.isNull() | truth.isNull(), F.lit(timeout_score)).otherwise(grade(output, truth))
+
+
 def geo3k_score(c: Column, truth: Column, format_weight: float = 0.1) -> Column:
     """0.9 accuracy of the boxed answer + 0.1 format (a full match of thinking followed by a boxed answer)."""
     fmt = F.coalesce(c, F.lit("")).rlike(r"(?s)^<think>.*</think>.*\\boxed\{.*\}.*$")

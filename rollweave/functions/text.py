@@ -156,6 +156,66 @@ def segments(df: DataFrame, key: str, text: str) -> DataFrame:
     return e.select(key, "section_idx", "section_local_sent_idx", "char_start", "char_end", "text", m["mask"].alias("marker_mask"), m["wait_like"].alias("marker_wait_like"))
 
 
+@F.pandas_udf(Ty.ArrayType(Ty.StructType([Ty.StructField("start", Ty.IntegerType()), Ty.StructField("end", Ty.IntegerType())])))
+def aligned(texts: pd.Series, sentences_: pd.Series) -> pd.Series:
+    """Where sentences whose white space was changed stand in their text, each behind the one before; null for one that isn't
+    there. Punctuation and closing quotes right behind belong to the sentence."""
+
+    def one(text: str | None, parts) -> list | None:
+        if text is None or parts is None:
+            return None
+        solid = [(c, i) for i, c in enumerate(text) if not c.isspace()]
+        flat = "".join(c for c, _ in solid)
+        out, at = [], 0
+        for p in parts:
+            want = "".join(p.split()) if p else ""
+            k = flat.find(want, at) if want else -1
+            if k < 0:
+                out.append(None)
+                continue
+            at = k + len(want)
+            while at < len(flat) and flat[at] in TAIL_MARKS and solid[at][1] == solid[at - 1][1] + 1:
+                at += 1
+            out.append((solid[k][1], solid[at - 1][1] + 1))
+        return out
+
+    return pd.Series([one(t, p) for t, p in zip(texts, sentences_)], dtype=object)
+
+
+#: Marks that close a sentence when they follow it directly.
+TAIL_MARKS = frozenset(".!?。！？…\"'”’»)]")
+
+#: A few function words of languages in Latin letters.
+STOP_WORDS = {
+    "en": ("the", "and", "of", "is", "to", "in", "that", "so", "we", "it"),
+    "de": ("der", "die", "das", "und", "ist", "nicht", "wir", "also", "ein", "mit"),
+    "fr": ("le", "les", "des", "et", "est", "une", "donc", "nous", "pour", "dans"),
+    "es": ("el", "los", "las", "y", "es", "una", "por", "que", "como", "con"),
+}
+#: Scripts that name a language, asked in this order.
+SCRIPTS = (("ja", r"[\x{3040}-\x{30FF}]"), ("ko", r"[\x{AC00}-\x{D7AF}]"), ("zh", r"[\x{4E00}-\x{9FFF}]"), ("ru", r"[\x{0400}-\x{04FF}]"))
+
+
+def _count_in(ws: Column, known: Sequence[str]) -> Column:
+    return F.size(F.filter(ws, lambda w: w.isin(*known)))
+
+
+def guess_language(c: Column, least: int = 5) -> Column:
+    """Language by script, where a tenth of the characters has it, else by function words; null for texts of fewer than
+    ``least`` characters and where no function word occurs. Of equal counts the first language named wins. All on the JVM."""
+    t = F.lower(F.trim(c))
+    ws = F.split(t, r"[^\p{L}]+")
+    counts = [_count_in(ws, s) for s in STOP_WORDS.values()]
+    top = F.greatest(*counts)
+    latin = F.when(top == 0, F.lit(None).cast("string"))
+    for name, n in zip(STOP_WORDS, counts):
+        latin = latin.when(n == top, name)
+    out = F.when(F.length(t) < least, F.lit(None).cast("string"))
+    for name, script in SCRIPTS:
+        out = out.when(F.regexp_count(t, F.lit(script)) * 10 >= F.length(t), name)
+    return F.when(c.isNotNull(), out.otherwise(latin))
+
+
 def long_sentence_pieces(c: Column, most: int) -> Column:
     """A sentence longer than ``most`` characters cut after inner punctuation where possible, else at the limit."""
     return F.when(F.length(c) <= most, F.array(c)).otherwise(F.regexp_extract_all(c, F.lit(rf"(?s).{{1,{most - 1}}}[,;:，；：、]\s*|.{{1,{most}}}"), F.lit(0)))

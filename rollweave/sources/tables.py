@@ -80,3 +80,43 @@ def unify_keys(df: DataFrame, rename: dict[str, str], drop: Sequence[str] = ())
 
 def with_constant(df: DataFrame, key: str, value: object) -> DataFrame:
     return df.withColumn(key, F.lit(value))
+
+
+def verified_io(df: DataFrame, io: str, question: str, prefix: str = "") -> DataFrame:
+    """Programming tasks whose JSON of inputs and outputs parses and holds equally many of both, one or more: ``prompt``,
+    ``inputs`` and ``outputs`` are added."""
+    d = df.withColumn("_io", F.from_json(io, "inputs array<string>, outputs array<string>"))
+    ok = (F.size("_io.inputs") > 0) & (F.size("_io.inputs") == F.size("_io.outputs"))
+    return d.where(ok & F.col(question).isNotNull()).withColumns({"prompt": F.array(message("user", F.concat(F.lit(prefix), question))), "inputs": F.col("_io.inputs"), "outputs": F.col("_io.outputs")}).drop("_io")
+
+
+def evaluation_rows(df: DataFrame, source: Column, question: Column, answer: Column, key: str, ability: str, split: str = "test", instruction: str = "") -> DataFrame:
+    """One row shape for evaluation sets of different origin; union the results of several."""
+    return df.select(
+        source.alias("data_source"),
+        F.array(message("user", F.concat(question, F.lit(instruction)))).alias("prompt"),
+        F.lit(ability).alias("ability"),
+        F.struct(answer.cast("string").alias("ground_truth"), F.lit("rule").alias("style")).alias("reward_model"),
+        F.struct(F.lit(split).alias("split"), F.col(key).cast("string").alias("index")).alias("extra_info"),
+    )
+
+
+def search_rows(df: DataFrame, source: str, question: Column, answer: Column, key: str, split: str, system: str) -> DataFrame:
+    """Rows of a question-answering task with a search tool: prompt, reward model, and the tool's arguments in extra_info."""
+    tool = F.struct(F.struct(F.struct(answer.alias("ground_truth"), question.alias("question"), F.col(source).alias("data_source")).alias("create_kwargs")).alias("search"))
+    return df.select(
+        F.concat(F.lit("search_"), F.coalesce(source, F.lit("unknown"))).alias("data_source"),
+        F.array(message("system", F.lit(system)), message("user", question)).alias("prompt"),
+        F.struct(answer.alias("ground_truth"), F.lit("rule").alias("style")).alias("reward_model"),
+        F.struct(F.col(key).alias("index"), F.lit(True).alias("need_tools_kwargs"), question.alias("question"), F.lit(split).alias("split"), tool.alias("tools_kwargs")).alias("extra_info"),
+    )
+
+
+def labelled_comparisons(df: DataFrame, prompt: Column, chosen: Column, rejected: Column) -> DataFrame:
+    """Chosen and rejected answers as a comparison that A wins; rows without one of them are left out."""
+    return df.where(chosen.isNotNull() & rejected.isNotNull()).select(prompt.alias("prompt"), chosen.alias("completion_a"), rejected.alias("completion_b"), F.lit("A").alias("label"))
+
+
+def truncated_prompt(tokens: Column, most: int | None) -> Column:
+    """The first ``most`` tokens of a prompt; all where there is no limit."""
+    return tokens if most is None else F.slice(tokens, 1, most)
