@@ -39,6 +39,12 @@ def first_share(df: DataFrame, order: Sequence[str], share: float, least: int =
     return d.crossJoin(F.broadcast(n)).where("_first < _most").drop("_first", "_most")
 
 
+def first_of(df: DataFrame, order: Sequence[str], n: DataFrame) -> DataFrame:
+    """The first rows in the order of ``order``, as many as the one number in ``n`` says; by distributed positions."""
+    most = n.toDF("_most")
+    return with_index(df, order, "_first").crossJoin(F.broadcast(most)).where("_first < _most").drop("_first", "_most")
+
+
 def select_positions(df: DataFrame, positions: DataFrame, idx: str = IDX) -> DataFrame:
     """Gather by a list of positions, which may repeat: ``positions`` has (pos, idx); the result has pos as its position."""
     return positions.join(df, idx).drop(idx).withColumnRenamed("pos", idx)

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rollweave.operators.batch import with_index
+
 
 def a_minus_b(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Rows of a whose key is not in b; rows with a null key stay. Only b's distinct keys are moved."""
@@ -101,3 +103,9 @@ def prob_compare(a: DataFrame, b: DataFrame, keys: Sequence[str], lp_a: str, lp_
     p, q = F.exp(lp_a), F.exp(lp_b)
     d = F.abs(p - q)
     return j.agg(F.avg(d).alias("diff_mean"), F.max(d).alias("diff_max"), F.stddev_samp(d).alias("diff_std"), F.corr(p, q).alias("corr"))
+
+
+def positional(a: DataFrame, a_order: Sequence[str], b: DataFrame, b_order: Sequence[str], at: str = "_position") -> DataFrame:
+    """The n-th row of ``a`` in its order beside the n-th of ``b`` in its own; rows beyond the end of the shorter table are
+    left out. Positions are computed distributedly. Columns of equal names are to be renamed before."""
+    return with_index(a, a_order, at).join(with_index(b, b_order, at), at).drop(at)

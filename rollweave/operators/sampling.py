@@ -128,10 +128,12 @@ def pf_weights(score: Column, method: str = "pow", power: float = 2.0, top: Colu
 def karmarkar_karp(weights: Sequence[int], parts: int, equal: bool = False) -> list[list[int]]:
     """Largest differencing: partial solutions are merged, largest spread first, so that heavy sets meet light ones.
 
-    With ``equal`` all parts get as many items (their number must divide). Runs on (id, weight) of one batch.
+    With ``equal`` all parts get as many items, up to one where their number does not divide. Runs on (id, weight) of one batch.
     """
-    if equal and len(weights) % parts:
-        raise ValueError("the number of items must divide by the number of parts")
+    if equal and (short := -len(weights) % parts):
+        # Empty items fill the last round; they are dropped again.
+        full = karmarkar_karp([*weights, *[0] * short], parts, True)
+        return [[i for i in ids if i < len(weights)] for ids in full]
     order = sorted((w, i) for i, w in enumerate(weights))
     if equal:
         start = [[[(w, [i])] for w, i in order[a : a + parts]] for a in range(0, len(order), parts)]

@@ -201,9 +201,9 @@ def _text(c) -> object:
     return F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
 
 
-@query(f"WITH {_TOKS} SELECT seq, array_to_string(a || list_resize([0::BIGINT], greatest(8 - len(a), 0), 0), ' ') AS rp, array_to_string(list_slice(a, 1, 3), ' ') AS rt, array_to_string(list_slice(a, greatest(len(a) - 2, 1), len(a)), ' ') AS lt FROM t WHERE len(a) <= 8")
+@query(f"WITH {_TOKS} SELECT seq, array_to_string(a || list_resize([0::BIGINT], greatest(8 - len(a), 0), 0), ' ') AS rp, array_to_string(list_slice(a, 1, 3), ' ') AS rt, array_to_string(list_slice(a, greatest(len(a) - 2, 1), len(a)), ' ') AS lt FROM t")
 def pad_truncate(spark: SparkSession, d: str) -> DataFrame:
-    t = _arrays(spark, d).where("size(a) <= 8")
+    t = _arrays(spark, d)
     return t.select("seq", _text(Q.pad(F.col("a"), 8, 0)).alias("rp"), _text(Q.truncate(F.col("a"), 3)).alias("rt"), _text(Q.truncate(F.col("a"), 3, "left")).alias("lt"))
 
 
@@ -266,9 +266,9 @@ def rollup_counts(spark: SparkSession, d: str) -> DataFrame:
     return o.rollup("s", "b").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT data_source, round(avg(reward_seq_sum), 4) AS m FROM {ROLL} WHERE isfinite(reward_seq_sum) AND reward_seq_sum BETWEEN -1 AND 1 GROUP BY 1")
+@query(f"SELECT data_source, round(avg(reward_seq_sum), 4) AS m FROM {ROLL} WHERE isfinite(reward_seq_sum) GROUP BY 1")
 def rollout_reward_means(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, ROLL).where(F.col("reward_seq_sum").between(-1, 1) & ~F.isnan("reward_seq_sum"))
+    r = table(spark, d, ROLL).where(F.abs("reward_seq_sum") < float("inf"))
     return r.groupBy("data_source").agg((F.round(F.avg("reward_seq_sum"), 4)).alias("m"))
 
 

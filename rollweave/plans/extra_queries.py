@@ -270,14 +270,6 @@ def naive_manager(spark: SparkSession, d: str) -> DataFrame:
     return M.score_records(r, "naive", response="response_text", truth="ground_truth", source="source", by={"step_arith": "gsm8k"}).select("line_no", "score")
 
 
-@query(f"""SELECT line_no, nullif(array_to_string(regexp_extract_all(right(coalesce(response_text, ''), 300), '#### (-?[0-9.,]+)', 1)[-1:], ''), '') AS strict_raw,
-{_NUMS}[-1] AS flexible FROM {ROLL}""")
-def gsm8k_numbers(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, ROLL).select("line_no", "response_text")
-    end = F.right("response_text", F.lit(300))
-    return r.select("line_no", S.last_match(end, r"#### (-?[0-9.,]+)").alias("strict_raw"), S.gsm8k_answer(F.col("response_text"), strict=False).alias("flexible"))
-
-
 # Bounds
 
 

@@ -161,18 +161,20 @@ def softmean(spark: SparkSession, d: str) -> DataFrame:
     return A.softmean(sequences(spark, d), "score", 0.5).select(r6("softmean").alias("softmean"))
 
 
-@query("SELECT e.vec_id, d.doc_id, d.n_chars, e.label FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id")
+@query("""WITH a AS (SELECT item_id, row_number() OVER (ORDER BY eval_set, item_id) AS i FROM eval_items), b AS (SELECT vec_id, label, row_number() OVER (ORDER BY label DESC, vec_id) AS i FROM embeddings)
+SELECT item_id, vec_id, label FROM a JOIN b USING (i)""")
 def positional_join(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "n_chars")
-    return table(spark, d, "embeddings").select("vec_id", "label").join(docs, F.col("doc_id") == F.col("vec_id")).select("vec_id", "doc_id", "n_chars", "label")
+    """Row by row, whatever the keys: the n-th item with the n-th vector, as far as both tables go."""
+    a, b = table(spark, d, "eval_items").select("item_id", "eval_set"), table(spark, d, "embeddings").select("vec_id", "label").withColumn("down", -F.col("label"))
+    return J.positional(a, ["eval_set", "item_id"], b, ["down", "vec_id"]).select("item_id", "vec_id", "label")
 
 
 @query()
 def balance_across_ranks(spark: SparkSession, d: str) -> DataFrame:
-    """Every rank of a batch gets as many sequences and about as many tokens; rows come out grouped by rank."""
+    """Every rank of a batch gets as many sequences (up to one, where they do not divide) and about as many tokens; rows come
+    out grouped by rank."""
     s = sequences(spark, d, True).withColumn("batch", F.floor((F.col("k") - 1) / 64))
-    full = s.join(s.groupBy("batch").agg(F.count("*").alias("c")).where("c = 64"), "batch", "left_semi")
-    return S.balanced(full, "batch", "k", "len", 8, equal=True).repartitionByRange("batch", "part").sortWithinPartitions("batch", "part", "k")
+    return S.balanced(s, "batch", "k", "len", 8, equal=True).repartitionByRange("batch", "part").sortWithinPartitions("batch", "part", "k")
 
 
 @query(f"WITH {SEQ} SELECT a.k, round((SELECT avg(b.score) FROM s b WHERE b.g = a.g AND b.len < a.len), 6) AS contrast FROM s a")
@@ -398,7 +400,7 @@ def token_balanced_partitions(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def dynamic_micro_batches(spark: SparkSession, d: str) -> DataFrame:
-    return S.micro_batches(sequences(spark, d, True).where("len > 0").withColumn("batch", F.floor(F.col("k") / 64)), "batch", "k", "len", 40)
+    return S.micro_batches(sequences(spark, d, True).withColumn("batch", F.floor(F.col("k") / 64)), "batch", "k", "len", 40)
 
 
 @query(f"WITH {SEQ}, p AS (SELECT k % 8 AS part, sum(len) AS s FROM s GROUP BY 1) SELECT min(s)::BIGINT AS min, max(s)::BIGINT AS max, round(avg(s), 6) AS mean FROM p")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rollweave.functions import bounds as B
 from rollweave.functions import losses as L
 from rollweave.operators import advantages as A
+from rollweave.operators import batch as D
 from rollweave.operators import aggregates as G
 from rollweave.operators.batch import first_share
 from rollweave.plans.registry import query, r6
@@ -217,10 +218,16 @@ def kl_cov_top_tokens(spark: SparkSession, d: str) -> DataFrame:
     return top.select(*KEYS, r6("c").alias("c"))
 
 
-@query(f"WITH {TOK}, {_COV} SELECT {KEYS_SQL}, round(c, 6) + 0.0 AS c FROM cov WHERE mask = 1 AND c BETWEEN 0.02e0 AND 0.06e0 ORDER BY (seq * 2654435761 + pos) % 4294967296, {KEYS_SQL} LIMIT 100")
+@query(f"""WITH {TOK}, {_COV}, n AS (SELECT greatest(CAST(floor(0.002e0 * sum(mask)) AS BIGINT), 1) AS n FROM tok),
+band AS (SELECT *, row_number() OVER (ORDER BY (seq * 2654435761 + pos) % 4294967296, {KEYS_SQL}) AS i FROM cov WHERE mask = 1 AND c > 0.02e0 AND c < 0.06e0 AND NOT -adv * least(greatest({_R}, 0.8e0), 1.2e0) > -adv * {_R})
+SELECT {KEYS_SQL}, round(c, 6) + 0.0 AS c FROM band, n WHERE i <= n""")
 def clip_cov_pick(spark: SparkSession, d: str) -> DataFrame:
-    t = L.covariance(tokens(spark, d), "lp", "adv", "mask", "c").where("mask = 1 AND c BETWEEN 0.02 AND 0.06")
-    return t.orderBy((F.col("seq") * F.lit(2654435761) + F.col("pos")) % F.lit(4294967296), *KEYS).limit(100).select(*KEYS, r6("c").alias("c"))
+    """Of the tokens in the band that the clip does not reach anyway, as many as a share of all masked tokens, picked by hash."""
+    t = L.covariance(tokens(spark, d), "lp", "adv", "mask", "c")
+    n = t.agg(F.greatest(F.floor(F.sum("mask") * 0.002).cast("bigint"), F.lit(1)).alias("n"))
+    clipped = L.clipped_surrogate(F.col("lp"), F.col("old_lp"), F.col("adv"))["clipped"]
+    band = t.where((F.col("mask") == 1) & (F.col("c") > 0.02) & (F.col("c") < 0.06) & (clipped == 0)).withColumn("h", (F.col("seq") * F.lit(2654435761) + F.col("pos")) % F.lit(4294967296))
+    return D.first_of(band, ["h", *KEYS], n).select(*KEYS, r6("c").alias("c"))
 
 
 @query(f"WITH {TOK} SELECT {KEYS_SQL}, round(sum(reward * mask) OVER (PARTITION BY seq ORDER BY pos, t1, t2, t3, t4, t5 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) + 0.0 AS ret, round(sum(reward * mask) OVER (PARTITION BY seq ORDER BY pos, t1, t2, t3, t4, t5 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - value * mask, 6) + 0.0 AS adv FROM tok")
