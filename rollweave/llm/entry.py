@@ -156,8 +156,44 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
     return _repaired(spark, d).where("garbled").select("doc_id", "chain", "restored")
 
 
+def p1_null_responses(spark: SparkSession, d: str) -> DataFrame:
+    """The defects of lines without a response: all empty, nothing else."""
+    lines = _rollouts(spark, d).where("response_text is null").select("line_no")
+    return p1_found(spark, d).join(lines, "line_no", "left_semi")
+
+
+def p3_source_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Responses per source, whose counts of cut ones must lie between none and all."""
+    s = p3_cut_share_by_source(spark, d)
+    return s.select("source", "n_responses", F.col("n_cut").between(0, F.col("n_responses")).alias("within"))
+
+
+def p6_fill_chars(spark: SparkSession, d: str) -> DataFrame:
+    """The packing of texts by characters, whose totals SQL can say; no container may be over full or hold a gap inside."""
+    sizes = table(spark, d, "documents").select("doc_id", F.length("text").alias("n"))
+    caps = table(spark, d, "token_budgets").select("budget_id", "capacity_tokens").distinct()
+    p = packing.pack(sizes, caps, "doc_id", "n", "budget_id", "capacity_tokens").join(caps, "budget_id")
+    per = p.groupBy("budget_id", "capacity_tokens", "container").agg(F.sum("n_tokens").alias("s"), F.max(F.col("offset") + F.col("n_tokens")).alias("top"), F.count("*").alias("n"), F.count_if(F.col("n_tokens") == F.col("capacity_tokens")).alias("full"), F.max("position").alias("last"))
+    ok = (F.col("s") <= F.col("capacity_tokens")) & (F.col("s") == F.col("top")) & (F.col("last") == F.col("n") - 1)
+    g = per.groupBy("budget_id", "capacity_tokens").agg(F.sum("s").alias("n_chars"), F.sum("n").alias("n_pieces"), F.sum("full").alias("full_pieces"), F.every(ok).alias("well_filled"), F.count("*").alias("c"))
+    least = F.ceil(F.col("n_chars") / F.col("capacity_tokens"))
+    return g.select("budget_id", "n_chars", "n_pieces", "full_pieces", "well_filled", ((F.col("c") >= least) & (F.col("c") <= 1.05 * least + 2)).alias("near_least"))
+
+
+def p7_whole_items(spark: SparkSession, d: str) -> DataFrame:
+    """Of the leaks those whose document holds the item's text letter by letter."""
+    docs, items = table(spark, d, "documents").select("doc_id", F.col("text").alias("t")), table(spark, d, "eval_items").select("item_id", F.col("text").alias("x"))
+    return p7_found(spark, d).join(docs, "doc_id").join(items, "item_id").where(F.col("t").contains(F.col("x"))).select("doc_id", "item_id")
+
+
+def p8_replacement_characters(spark: SparkSession, d: str) -> DataFrame:
+    """Of the garbled documents those that hold a replacement character, for which nothing may count as restored."""
+    docs = table(spark, d, "documents").where(F.col("text").contains("\ufffd")).select("doc_id")
+    return p8_restored(spark, d).join(docs, "doc_id", "left_semi").select("doc_id", F.col("restored").isNull().alias("nothing_restored"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p2_text_statistics, p3_found, p3_cut_share_by_source, p4_found, p4_languages, p5_percentiles, p5_days_merged, p6_pack, p6_fill, p7_found, p7_leaks, p8_found, p8_restored)
+    f.__name__: f for f in (p1_found, p2_found, p2_text_statistics, p3_found, p3_cut_share_by_source, p4_found, p4_languages, p5_percentiles, p5_days_merged, p6_pack, p6_fill, p7_found, p7_leaks, p8_found, p8_restored, p1_null_responses, p3_source_totals, p6_fill_chars, p7_whole_items, p8_replacement_characters)
 }
 
 _P5_UNPIVOT = " UNION ALL ".join(
@@ -166,6 +202,14 @@ _P5_UNPIVOT = " UNION ALL ".join(
 )
 
 SQL: dict[str, str] = {
+    "p1_null_responses": f"SELECT line_no, 'empty' AS defect FROM {ROLLOUTS} WHERE response_text IS NULL",
+    "p3_source_totals": f"SELECT nullif(replace(lower(trim(data_source)), '-', '_'), '') AS source, count(*) AS n_responses, true AS within FROM {ROLLOUTS} GROUP BY 1",
+    "p6_fill_chars": """
+        SELECT budget_id, CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(sum(ceil(length(text) / capacity_tokens)) AS BIGINT) AS n_pieces, CAST(sum(length(text) // capacity_tokens) AS BIGINT) AS full_pieces, true AS well_filled, true AS near_least
+        FROM documents, (SELECT DISTINCT budget_id, capacity_tokens FROM token_budgets) WHERE length(text) > 0 GROUP BY budget_id
+    """,
+    "p7_whole_items": "SELECT DISTINCT doc_id, item_id FROM documents d JOIN eval_items e ON contains(d.text, e.text)",
+    "p8_replacement_characters": "SELECT doc_id, true AS nothing_restored FROM documents WHERE contains(text, chr(65533))",
     "p5_days_merged": f"""
         WITH v AS ({_P5_UNPIVOT}),
         c AS (SELECT metric, count(*) FILTER (WHERE v IS NOT NULL AND NOT isnan(v)) AS n, count(*) FILTER (WHERE v IS NULL OR isnan(v)) AS n_missing FROM v GROUP BY metric)
