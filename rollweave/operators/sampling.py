@@ -73,8 +73,8 @@ def stratified(df: DataFrame, group: str, order: Column, tiebreak: str, share: f
     of any size is spread over range partitions.
     """
     d = with_index(df.withColumns({"_g": group_name(group), "_o": order}), ["_g", "_o", tiebreak], "_at")
-    per = target_sizes(d.groupBy("_g").agg(F.count("*").alias("_n"), F.min("_at").alias("_first")), "_n", share, rounding, least, most)
-    return d.join(per, "_g").where(F.col("_at") - F.col("_first") < F.col("k")).drop("_g", "_o", "_at", "_n", "_first", "k")
+    per = target_sizes(d.groupBy("_g").agg(F.count("*").alias("_n"), F.min("_at").alias("_first")), "_n", share, rounding, least, most).withColumnRenamed("k", "_take")
+    return d.join(per, "_g").where(F.col("_at") - F.col("_first") < F.col("_take")).drop("_g", "_o", "_at", "_n", "_first", "_take")
 
 
 #: Up to so many rows a limit is a heap per task whose rest one task merges; above, positions are computed distributedly.

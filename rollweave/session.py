@@ -16,12 +16,16 @@ _OWN: list[str] = []
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local runs, tests) is a folder of our own
-    made; it is removed when the driver ends.
+    Only where that setting is absent on a local master (local runs, tests) is a folder of our own
+    made; it is removed when the driver ends. On a cluster a folder of one machine would serve nobody, so there the
+    setting is asked for.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="rollweave-"))
         atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
