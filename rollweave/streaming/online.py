@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from rollweave.operators.filters import mark_patterns
+from rollweave.session import cut
 
 
 def records(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
@@ -70,19 +71,30 @@ def sessions(stream: DataFrame, ts: str, late: str, gap: str, key: str) -> DataF
 
 
 class Curriculum:
-    """Sampler that learns from each batch: a weight per group, moved towards the batch's mean score."""
+    """Sampler that learns from each batch: a weight per group, moved towards the batch's mean score.
+
+    The weights are a table, written anew by each update, so there may be any number of groups.
+    """
 
     def __init__(self, rate: float = 0.5):
-        self.rate, self.weights = rate, {}
+        self.rate = rate
+        self.weights: DataFrame | None = None
 
     def update(self, batch: DataFrame, group: str, score: str) -> None:
-        """Reads one mean per group of the batch, so its size is that of the groups in a batch."""
-        for r in batch.groupBy(group).agg(F.avg(score).alias("m")).collect():
-            old = self.weights.get(r[group], r["m"])
-            self.weights[r[group]] = old + self.rate * (r["m"] - old)
+        """A group seen first takes its mean; groups that the batch lacks keep their weight. Null scores say nothing."""
+        new = batch.where(F.col(score).isNotNull()).groupBy(F.col(group).alias("_g")).agg(F.avg(score).alias("_m"))
+        if self.weights is None:
+            self.weights = cut(new.withColumnRenamed("_m", "_w"), "weights")
+            return
+        old = self.weights.withColumnRenamed("_g", "_old")
+        j = new.join(old, F.col("_g").eqNullSafe(F.col("_old")), "full")
+        moved = F.when(F.col("_m").isNull(), F.col("_w")).when(F.col("_w").isNull(), F.col("_m")).otherwise(F.col("_w") + self.rate * (F.col("_m") - F.col("_w")))
+        self.weights = cut(j.select(F.when(F.col("_m").isNull(), F.col("_old")).otherwise(F.col("_g")).alias("_g"), moved.alias("_w")), "weights")
 
     def order(self, df: DataFrame, group: str, key: str, seed: int = 0) -> DataFrame:
         """Rows of the groups with the lowest score first; unseen groups before all."""
-        spark = df.sparkSession
-        w = spark.createDataFrame(list(self.weights.items()), f"`{group}` {dict(df.dtypes)[group]}, _w double")
-        return df.join(F.broadcast(w), group, "left").orderBy(F.col("_w").asc_nulls_first(), F.xxhash64(F.lit(seed), key), key).drop("_w")
+        by_hash = F.xxhash64(F.lit(seed), key)
+        if self.weights is None:
+            return df.orderBy(by_hash, key)
+        j = df.join(self.weights, F.col(group).eqNullSafe(F.col("_g")), "left")
+        return j.orderBy(F.col("_w").asc_nulls_first(), by_hash, key).drop("_g", "_w")

@@ -156,6 +156,9 @@ def test_curriculum(spark):
     df = spark.createDataFrame([("a", 1.0, 1), ("b", 0.0, 2), ("c", 0.5, 3)], "g string, s double, k int")
     c.update(df.where("g <> 'c'"), "g", "s")
     assert [r["g"] for r in c.order(df, "g", "k").collect()] == ["c", "b", "a"]
+    c.update(spark.createDataFrame([("b", 4.0), ("c", 0.1), (None, 9.0), ("c", None)], "g string, s double"), "g", "s")
+    assert {r["_g"]: r["_w"] for r in c.weights.collect()} == {"a": 1.0, "b": 2.0, "c": 0.1, None: 9.0}
+    assert [r["g"] for r in c.order(df, "g", "k").collect()] == ["c", "a", "b"] and c.order(df.limit(0), "g", "k").count() == 0
 
 
 def test_scorer_dispatch_covers_every_rollout(spark, tmp_path):
