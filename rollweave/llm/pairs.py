@@ -113,10 +113,13 @@ def is_refusal(text: str) -> bool:
             continue
         sents = [s.strip() for s in tk.SENT_RE.findall(tk.TAG_RE.sub("\n", part))]
         for s in reversed([s for s in sents if any(map(str.isalpha, s))]):
-            low = s.lower()
+            low, number = s.lower(), any(map(str.isdigit, s))
+            # A sentence that stops over its numbers was about the task.
+            if number and not tr.CLOSED_RE.search(s):
+                return False
             if any(h in low for h in HINTS) and any(says.search(s) and not goes_on.search(s) for says, goes_on in _REFUSALS):
                 return True
-            if any(map(str.isdigit, s)) or tr.ANSWER_RE.fullmatch(s):
+            if number or tr.ANSWER_RE.fullmatch(s):
                 return False
         done, size = start, size * 4
     return False
