@@ -26,7 +26,7 @@ from rollweave.llm import resources
 from rollweave.session import cut
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
-RANGES = 5
+RANGES = 3
 
 
 @cache

@@ -51,7 +51,7 @@ def test_near_sequential_best_fit_on_many_items():
 
 
 def test_ranges_and_supersteps():
-    assert [packing.range_of(s, 100) for s in (100, 51, 50, 26, 25, 12, 6, 1)] == [4, 4, 3, 3, 2, 1, 0, 0]
+    assert [packing.range_of(s, 100) for s in (100, 51, 50, 26, 25, 12, 6, 1)] == [2, 2, 1, 1, 0, 0, 0, 0]
     climbs = {s: [t for t in range(packing.supersteps()) if s in packing.active(t)] for s in range(packing.RANGES)}
     assert min(climbs[0]) == 2 * (packing.RANGES - 1) and packing.supersteps() - 1 == max(climbs[packing.RANGES - 1])
 
