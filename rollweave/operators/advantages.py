@@ -89,8 +89,10 @@ def rloo(df: DataFrame, group: str, score: str) -> DataFrame:
 
 @register("opo")
 def opo(df: DataFrame, group: str, score: str, length: str) -> DataFrame:
-    """s less the length-weighted mean of the group; a group of one keeps its score."""
-    d = with_group(df, group, _mean=F.sum(F.col(length) * F.col(score)) / F.sum(length), _n=F.count("*"))
+    """s less the length-weighted mean of the group, NaN where its lengths sum up to 0; a group of one keeps its score."""
+    total = F.sum(length)
+    mean = F.when(total == 0, F.lit(float("nan"))).otherwise(F.sum(F.col(length) * F.col(score)) / total)
+    d = with_group(df, group, _mean=mean, _n=F.count("*"))
     return _done(d, F.col(score) - F.when(F.col("_n") > 1, F.col("_mean")).otherwise(0.0))
 
 

@@ -107,3 +107,11 @@ def test_singletons_and_registry(spark):
 def test_discounted(spark):
     y = spark.createDataFrame([([1.0, 2.0, 4.0],)], "x array<double>").select(A.discounted(F.col("x"), 0.5)).first()[0]
     assert y == [3.0, 4.0, 4.0]
+
+
+def test_opo_gives_nan_where_all_lengths_are_zero(spark):
+    rows = [(1, 1, 2.0, 0), (2, 1, 4.0, 0), (3, 2, 5.0, 0), (4, 3, 1.0, 3), (5, 3, 2.0, 1), (6, None, 7.0, 0), (7, None, None, 0)]
+    df = spark.createDataFrame(rows, "k int, g int, s double, n int")
+    got = {r["k"]: r["adv"] for r in A.compute_advantage(df, "opo", group="g", score="s", length="n").collect()}
+    assert all(math.isnan(got[k]) for k in (1, 2, 6)) and got[7] is None
+    assert (got[3], got[4], got[5]) == (5.0, -0.25, 0.75)
