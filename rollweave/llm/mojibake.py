@@ -15,14 +15,15 @@ from collections.abc import Iterable, Iterator, Sequence
 from functools import cache
 from itertools import chain
 from typing import NamedTuple
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from rollweave.llm import textkit as tk
 from rollweave.llm.langid import label_code
+from rollweave.session import cut
 
 #: Encodings that UTF-8 bytes are wrongly read in.
 READ_AS = ("cp1252", "latin-1", "cp1251", "mac_roman", "cp437", "cp850", "cp1250", "koi8-r", "cp866", "mac_cyrillic", "cp1254", "iso8859-15", "iso8859-2", "gb18030", "big5", "shift_jis")
@@ -34,7 +35,7 @@ SWAPPED = (
 )
 MULTI = frozenset(("gb18030", "big5", "shift_jis"))
 #: Bytes that naming a step costs. Between other encodings every decoding succeeds, so there some word must become known;
-#: each word that does counts as one byte saved.
+#: each word that a step makes known counts as one byte saved.
 CHAIN_COST = {"utf-8": 1, "other": 0}
 HIGH_CP1252 = "‚„†‡ˆ‰ŠŒŽ‘’“”•–—˜™š›œžŸ€ƒ‹"
 TOKEN_RE = re.compile(r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*")
@@ -90,6 +91,14 @@ def _high_re(enc: str) -> re.Pattern:
     return re.compile(f"[{high}]+")
 
 
+@cache
+def _swap_table(a: str, b: str) -> dict[int, str]:
+    """Upper half of a single-byte encoding -> what ``b`` has at the same byte; U+FFFF where it has nothing there."""
+    return {ord(c): x.to_bytes().decode(b, "replace").replace("\ufffd", "\uffff") for x in range(0x80, 0x100) if len(c := x.to_bytes().decode(a, "replace").replace("\ufffd", chr(x))) == 1}
+
+
+#: Share of a language's documents that make a word or character known.
+LEAST_SHARE = 0.002
 CYRILLIC = "".join(map(chr, range(0x410, 0x450))) + "Ёё"
 
 
@@ -103,54 +112,126 @@ class Model(NamedTuple):
     words: frozenset[str]
 
 
+@cache
+def _garbled_re() -> re.Pattern:
+    """Characters that ordinary texts lack, and runs beyond ASCII that are well-formed UTF-8 read in a single-byte encoding."""
+    runs = "|".join(_utf8_re(enc).pattern for enc in ("cp1252", "latin-1", "cp1251", "cp437", "cp1250"))
+    return re.compile(rf"[\ufffd\x80-\x9f]|{ACCENTS_RE.pattern}|(?<![^\x00-\x7f])(?=[^\x00-\x7f]{{2,39}}(?![^\x00-\x7f]))(?:{runs})(?![^\x00-\x7f])")
+
+
 def looks_garbled(text: str) -> bool:
-    """Cheap test that keeps garbled texts out of the training sample."""
-    if "�" in text or ACCENTS_RE.search(text) or any("\x80" <= c <= "\x9f" for c in text):
-        return True
-    for run in set(RUN_RE.findall(text)):
-        if len(run) > 1:
-            for enc in ("cp1252", "latin-1", "cp1251", "cp437", "cp1250"):
-                if _utf8_re(enc).fullmatch(run) and len(run) < 40:
-                    return True
-    return False
+    """Cheap test that keeps garbled texts out of the counts."""
+    return not text.isascii() and bool(_garbled_re().search(text))
 
 
-def fit(samples: dict[str, list[str]], size: int = 16_384, usual_share: float = 0.03) -> Model:
-    """Trains a dictionary per language and learns which characters are usual in its texts (in ``usual_share`` of them;
-    Chinese characters: in any)."""
+class Counted:
+    """Of texts that don't look garbled, by language: documents that hold a character (c) or word (w), documents (d, no value),
+    and their lines as pieces for a dictionary."""
+
+    def __init__(self) -> None:
+        self.counts: dict[str, dict[str, Counter]] = {}
+        self.pieces: dict[str, list[bytes]] = {}
+
+    def add(self, lang: str, text: str | None) -> None:
+        if text and not looks_garbled(text):
+            c = self.counts.get(lang) or self.counts.setdefault(lang, {k: Counter() for k in "cwd"})
+            c["c"].update(set(text))
+            c["w"].update(set(tk.lower_words(text)))
+            c["d"][""] += 1
+            self.pieces.setdefault(lang, []).extend(p.encode("utf-8", "replace") for p in text.split("\n") if len(p) > 8)
+
+    def rows(self) -> Iterator[tuple[str, str, str, int]]:
+        return ((kind, lang, v, n) for lang, by in self.counts.items() for kind, values in by.items() for v, n in values.items())
+
+
+def _condensed(pieces: list[bytes], size: int) -> list[bytes]:
+    """Stretches of the pieces that say most about all of them, ``size`` bytes at most; all pieces where they are no longer."""
     import zstandard
 
-    dictionaries, usual, every, words = {}, {}, Counter(), Counter()
-    for lang, texts in samples.items():
-        clean = [t for t in texts if t and not looks_garbled(t)]
-        df = Counter(c for t in clean for c in set(t))
-        every.update(df)
-        words.update(w for t in clean for w in set(tk.lower_words(t)))
-        usual[lang] = frozenset(c for c, n in df.items() if n >= max(2, usual_share * len(clean)) or tk.CJK_RE.match(c) and lang == "zh")
-        parts = [p.encode() for t in clean for p in t.split("\n") if len(p) > 8]
+    if sum(map(len, pieces)) <= size:
+        return pieces
+    try:
+        content = zstandard.train_dictionary(size, pieces, k=256, d=8).as_bytes()[512:]  # without the tables at its head
+    except zstandard.ZstdError:  # too few pieces to choose from
+        content = b"".join(pieces)[:size]
+    return [x.decode("utf-8", "ignore").encode() for a in range(0, len(content), 256) if len(x := content[a : a + 256]) > 8]
+
+
+def model_of(counts: Iterable[tuple[str, str, str, int]], pieces: dict[str, list[bytes]], size: int = 16_384, usual_share: float = 0.03, least_share: float = LEAST_SHARE) -> Model:
+    """Trains a dictionary per language on its pieces and tells from the counts which characters and words are ordinary.
+    Characters are usual in ``usual_share`` of a language's documents (Chinese ones in ``least_share``) and known, as words are,
+    in ``least_share`` of those of some language; two documents at least."""
+    import zstandard
+
+    by: dict[str, dict[str, dict[str, int]]] = {}
+    for kind, lang, v, n in counts:
+        by.setdefault(lang, {k: {} for k in "cwd"})[kind][v] = n
+    dictionaries, usual, every = {}, {}, {"c": Counter(), "w": Counter()}
+    for lang, x in sorted(by.items()):
+        docs = x["d"][""]
+        for kind, total in every.items():
+            total.update({v: n for v, n in x[kind].items() if n >= least_share * docs})
+        usual[lang] = frozenset(c for c, n in x["c"].items() if n >= max(2, usual_share * docs) or lang == "zh" and n >= least_share * docs and tk.CJK_RE.match(c))
+        parts = pieces.get(lang, [])
         try:
             dictionaries[lang] = zstandard.train_dictionary(size, parts).as_bytes()
         except zstandard.ZstdError:  # too little text: the text itself serves as dictionary
             dictionaries[lang] = b"\n".join(parts)[-size:] or b" " * 16
-    known = frozenset(c for c, n in every.items() if n >= 2)
-    if sum(c in known for c in CYRILLIC) * 2 > len(CYRILLIC):  # a small sample may lack a rare letter of an alphabet it uses
+    known = frozenset(c for c, n in every["c"].items() if n >= 2)
+    if sum(c in known for c in CYRILLIC) * 2 > len(CYRILLIC):  # a small corpus may lack a rare letter of an alphabet it uses
         known |= frozenset(CYRILLIC)
         usual["ru"] = usual.get("ru", frozenset()) | frozenset(CYRILLIC.lower())
     usual["*"] = frozenset().union(*usual.values()) if usual else frozenset()
-    return Model(dictionaries, usual, known, frozenset(w for w, n in words.items() if n >= 2))
+    return Model(dictionaries, usual, known, frozenset(w for w, n in every["w"].items() if n >= 2))
+
+
+def fit(samples: dict[str, list[str]], size: int = 16_384, usual_share: float = 0.03) -> Model:
+    """The model of texts at hand, by language."""
+    c = Counted()
+    for lang, texts in samples.items():
+        for t in texts:
+            c.add(lang, t)
+    return model_of(c.rows(), c.pieces, size, usual_share)
 
 
-def train(spark: SparkSession, docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", sample_docs: int = 300, sample_chars: tuple[int, int] = (20, 8000)) -> Model:
-    """Fits the model on at most ``sample_docs`` documents of each labelled language, chosen by hash of the key, of
-    ``sample_chars`` characters: the bound of what reaches the driver."""
-    ranked = docs.select(F.col(key).alias("k"), label_code(F.col(label)).alias("l")).where("l is not null")
-    w = Window.partitionBy("l").orderBy(F.xxhash64("k"), "k")
-    chosen = ranked.withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample_docs).select("k", "l")
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t").between(*sample_chars)).join(F.broadcast(chosen), "k").select("l", "k", "t").collect()
-    samples: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: r["k"]):
-        samples.setdefault(r["l"], []).append(r["t"])
-    return fit(samples)
+def train(spark: SparkSession, docs: DataFrame, text: str = "text", label: str = "lang", least_share: float = LEAST_SHARE, condensed: int = 262_144) -> Model:
+    """The model of all labelled documents, whatever their length, read once.
+
+    Each partition counts, and condenses its lines of a language to ``condensed`` bytes; those of all partitions are condensed
+    again, about 64 at a time and in an order that their content gives, until one set is left. What reaches the driver is bounded: per language these bytes, and at most the
+    distinct words and characters of a document divided by ``least_share``.
+    """
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c, n = Counted(), 0
+        for pdf in batches:
+            for lang, t in zip(pdf["l"], pdf["t"]):
+                c.add(lang, t)
+                n += len(t)
+            if n > 50_000_000:
+                yield made(c)
+                c, n = Counted(), 0
+        yield made(c)
+
+    def made(c: Counted) -> pd.DataFrame:
+        rows = [(kind, lang, v, n, None) for kind, lang, v, n in c.rows()]
+        rows += [("t", lang, None, crc32(b"".join(x)), x) for lang, xs in c.pieces.items() for x in [_condensed(xs, condensed)]]
+        return pd.DataFrame(rows, columns=["kind", "lang", "v", "n", "pieces"])
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        one = _condensed([bytes(x) for xs in pdf.sort_values("n")["pieces"] for x in xs], condensed)
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "n": [crc32(b"".join(one))], "pieces": [one]})
+
+    rows = docs.select(label_code(F.col(label)).alias("l"), F.col(text).alias("t")).where("l is not null and t is not null")
+    parts = cut(rows.mapInPandas(run, "kind string, lang string, v string, n bigint, pieces array<binary>"), "counted")
+    sizes = parts.where("kind = 'd'").groupBy("lang").agg(F.sum("n").alias("docs"))
+    counts = parts.where("kind <> 't'").groupBy("kind", "lang", "v").agg(F.sum("n").alias("n"))
+    kept = counts.join(F.broadcast(sizes), "lang").where(F.col("n") >= F.col("docs") * least_share).select("kind", "lang", "v", "n").collect()
+    texts = parts.where("kind = 't'").select("lang", "n", "pieces")
+    while (most := texts.groupBy("lang").count().agg(F.max("count")).first()[0] or 0) > 1:
+        groups = F.pmod("n", F.lit(-(-most // 64)))
+        texts = cut(texts.groupBy("lang", groups.alias("g")).applyInPandas(merged, "lang string, n bigint, pieces array<binary>"), "pieces")
+    return model_of((tuple(r) for r in kept), {r["lang"]: [bytes(x) for x in r["pieces"]] for r in texts.collect()}, least_share=least_share)
 
 
 #: Token -> where it stands in the text.
@@ -191,10 +272,10 @@ class Repairer:
             asked = dict.fromkeys(pairs + single) if enc in MULTI else pairs
             out = {t: r for t in asked if (r := self._from_utf8(t, enc)) != t}
             if out:
-                yield f"utf-8 read as {enc}", out, 0
+                yield f"utf-8 read as {enc}", out, self._made_known(out)
                 twice = {t: r2 for t, r in out.items() if PAIR_RE.search(r) and (r2 := self._from_utf8(r, enc)) != r}
                 if twice:
-                    yield f"utf-8 read as {enc} < utf-8 read as {enc}", out | twice, 0
+                    yield f"utf-8 read as {enc} < utf-8 read as {enc}", out | twice, self._made_known(out | twice)
         unknown = {t: n for t in tokens if (n := self._unknown(t))}
         if not unknown:
             return
@@ -207,6 +288,9 @@ class Repairer:
             if out and better:
                 yield f"{b} read as {a}", out, better
 
+    def _made_known(self, out: dict[str, str]) -> int:
+        return max(0, sum(self._unknown(t) - self._unknown(new) for t, new in out.items()))
+
     def _applies(self, token: str, a: str, b: str) -> bool:
         """Whether the step can be undone in the token at all, whatever comes out."""
         if b == "utf-8":
@@ -219,11 +303,16 @@ class Repairer:
 
     def _swapped(self, token: str, a: str, b: str) -> str | None:
         """The token with what was read as ``a`` read as ``b``; null where that changes nothing or gives unknown characters."""
-        run = RUN_RE if a in MULTI else _high_re(a)
-        try:
-            new = run.sub(lambda m: to_bytes(m[0], a).decode(b), token)
-        except UnicodeError:
-            return None
+        if a in MULTI or b in MULTI:
+            run = RUN_RE if a in MULTI else _high_re(a)
+            try:
+                new = run.sub(lambda m: to_bytes(m[0], a).decode(b), token)
+            except UnicodeError:
+                return None
+        else:
+            new = token.translate(_swap_table(a, b))
+            if "\uffff" in new and "\uffff" not in token:
+                return None
         if new == token or TWO_SCRIPTS_RE.search(new) and not TWO_SCRIPTS_RE.search(token):
             return None
         return new if all(c < "\x80" or c in self.m.known or tk.CJK_RE.match(c) for c in new) else None

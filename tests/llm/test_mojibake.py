@@ -134,3 +134,26 @@ def test_many_garbled_words_among_good_ones(repairer):
     for k in (2, 11, 13, 60):
         bad = good + " " + " ".join(["Übung".encode().decode("cp1252")] * k)
         assert repairer.repair(bad).restored == good + " " + " ".join(["Übung"] * k)
+
+
+def test_model_counts_every_document_of_any_length(spark):
+    long, rare = SENT["de"].format(n=5) + " Füllwörter" * 1000, SENT["de"].format(n=6) + " Sündenböcke"
+    docs = spark.createDataFrame([(i, SENT["de"].format(n=i) if i % 100 else long if i % 200 else rare, "deu") for i in range(2000)], "doc_id int, text string, lang string")
+    model = mojibake.train(spark, docs.repartition(5))
+    assert {"füllwörter", "sündenböcke"} <= model.words and set("üöä") <= model.usual["de"]
+    assert mojibake.train(spark, docs, least_share=0.006).words < model.words
+    assert mojibake.train(spark, docs.limit(0)).dictionaries == {}
+
+
+def test_counts_leave_out_what_looks_garbled():
+    c = mojibake.Counted()
+    for t in ("für uns", "fÃ¼r uns", "f�r uns", "f\x9fr uns", "daß ÀÈÌÒ uns", None, ""):
+        c.add("de", t)
+    assert dict(c.counts["de"]["w"]) == {"für": 1, "uns": 1} and c.counts["de"]["d"][""] == 1
+
+
+def test_condensed_pieces_come_from_everywhere():
+    pieces = [SENT["de" if i < 1500 else "fr"].format(n=i).encode() for i in range(3000)]
+    got = mojibake._condensed(pieces, 8192)
+    text = b"".join(got).decode()
+    assert sum(map(len, got)) <= 8192 and "Einträge" in text and "réponse" in text and mojibake._condensed(pieces[:3], 8192) == pieces[:3]
