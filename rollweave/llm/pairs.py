@@ -106,18 +106,19 @@ def is_refusal(text: str) -> bool:
             bound = BOUND_RE.search(text, start, done)
             start = bound.end() if bound else 0
         part = text[start:done]
-        if not any(h in part.lower() for h in HINTS):
+        low = part.lower()
+        if not any(map(low.__contains__, HINTS)):
             if any(map(str.isdigit, part)):
                 return False
             done, size = start, size * 4
             continue
         sents = [s.strip() for s in tk.SENT_RE.findall(tk.TAG_RE.sub("\n", part))]
         for s in reversed([s for s in sents if any(map(str.isalpha, s))]):
-            low, number = s.lower(), any(map(str.isdigit, s))
+            number = any(map(str.isdigit, s))
             # A sentence that stops over its numbers was about the task.
             if number and not tr.CLOSED_RE.search(s):
                 return False
-            if any(h in low for h in HINTS) and any(says.search(s) and not goes_on.search(s) for says, goes_on in _REFUSALS):
+            if any(map(s.lower().__contains__, HINTS)) and any(says.search(s) and not goes_on.search(s) for says, goes_on in _REFUSALS):
                 return True
             if number or tr.ANSWER_RE.fullmatch(s):
                 return False

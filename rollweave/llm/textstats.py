@@ -34,6 +34,8 @@ NUM_ITEM_RE = re.compile(r"[-+]?\d[\d.,]*\s+\S+(?:\s\S+)?$")
 SEP_RE = re.compile(r"[;,，；、•·]\s*")
 CYR_RE = re.compile("[\u0400-\u04ff]")
 OTHER_RE = re.compile(rf"[^\W\d_\u0041-\u024f\u1e00-\u1eff\u0400-\u04ff{tk.CJK}]")
+#: What may hold characters of CJK_RE, CYR_RE or OTHER_RE.
+FAR_RE = re.compile("[^\x00-\u024f]+")
 SPECIAL_RE = re.compile(r"<\|?/?[a-zA-Z_]{1,20}\|?>|\[[A-Z]{3,5}\]")
 HEX_RE = re.compile(r"(?:0x)?[0-9a-fA-F]{4,16}[:\s]\s*(?:[0-9a-fA-F]{2}\s?){4,}")
 ENDS = tuple(".!?。！？…:;：；\"”’»)]}$*`>")
@@ -155,20 +157,21 @@ def _natural(piece: str, strict: int = 9, ws: list[str] | None = None) -> float:
         s, ws = tk.MARKUP_RE.sub(" ", piece), None
     if ws is None:
         ws = tk.lower_words(s)
-    letters = sum(map(len, ws))
+    lens = list(map(len, ws))
+    letters = sum(lens)
     if letters == 0 or letters * 4 < len(piece) - piece.count(" "):
         alnum = sum(map(str.isalnum, piece))
         return 0.5 if alnum * 5 >= len(piece.strip()) * (1 if "$" in piece or "\\" in piece else 2) or len(piece) < 12 else 0.0
     han = other = 0
     if not s.isascii():
-        han, cyr = len(tk.CJK_RE.findall(s)), len(CYR_RE.findall(s))
-        other = len(OTHER_RE.findall(s))
+        far = "".join(FAR_RE.findall(s))
+        han, cyr, other = len(tk.CJK_RE.findall(far)), len(CYR_RE.findall(far)), len(OTHER_RE.findall(far))
         lat = letters - han - cyr - other
         if other * 5 > letters or (han * 12 > letters) + (cyr * 12 > letters) + (lat * 12 > letters) + (other * 12 > letters) >= 3:
             return 0.0
     if han * 3 >= letters:
         return 0.5 if han < 6 else 1.0 if sum(map(s.count, tk.COMMON_ZH)) * strict * 3 >= han * 2 else 0.0
-    n = len([1 for w in ws if len(w) > 1])
+    n = len(lens) - lens.count(1)
     if n < 4:
         return 0.0 if letters > 30 * max(1, len(ws)) else 0.5
     return 1.0 if sum(map(tk.COMMON_BITS.__contains__, ws)) * strict >= n else 0.0

@@ -223,3 +223,20 @@ def test_small_sources_have_their_own_baseline(spark):
     f = truncation.mark_cut(pairs.pair_features(df, "id", "prompt", "text", ["src", "limited"]), "src", "limited")
     assert f.count() == df.count()
     assert sorted(r["id"] for r in f.where("is_cut").collect()) == [9101, 9102, 9103]
+
+
+def test_refusals_lower_a_stretch_once():
+    import sys
+
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(arg) if event == "c_call" and arg.__name__ == "lower" else None)
+    try:
+        assert not pairs.is_refusal("The sum is even. " * 40)
+    finally:
+        sys.setprofile(None)
+    assert 0 < len(calls) <= 5
+
+
+def test_foreign_letters_count_as_such():
+    assert textstats._natural("the ʃ sound of the word is ɐ and the other is not") == 1.0
+    assert textstats._natural("the αβγδεζηθ ικλμνξοπ is of ρστυφχψω and the αβγδ") == 0.0
