@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rollweave import catalog
 from rollweave.functions import embeddings as E
 from rollweave.functions import scoring as C
 from rollweave.functions import text as T
@@ -86,6 +87,17 @@ def test_text_features(spark):
     assert T.tandem_blocks(np.array([1, 2] * 20)) == (20, 40) and T.tandem_blocks(np.array([1, 2, 3])) == (1, 0)
 
 
+def test_segment_invariants_broadcasts_no_texts(spark, tmp_path):
+    """The planner's size of the sentences is far below theirs, so at its default limit it would send all texts to the driver."""
+    rows = [(i, "One two. Three!\nFour? " * 50 + str(i)) for i in range(200)] + [(200, ""), (201, None), (202, "\n\n")]
+    spark.createDataFrame(rows, "line_no long, response_text string").write.parquet(str(tmp_path / "filtered_random4by53.parquet"))
+    df = catalog.queries()["segment_invariants"](spark, str(tmp_path))
+    got = df.collect()
+    assert sorted(r["line_no"] for r in got) == [*range(200), 202] and all(r["any_line"] and r["covers"] for r in got)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_scores(spark):
     df = spark.createDataFrame([("so #### 1,234", "1234"), ("no number", "5"), ("#### 7", "8")], "r string, g string")
     assert [r[0] for r in df.select(C.gsm8k_score(F.col("r"), F.col("g"), format_score=0.1)).collect()] == [1.0, 0.0, 0.1]
